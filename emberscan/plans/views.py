@@ -98,3 +98,46 @@ def sql(body: str, **names) -> str:
     for key, value in names.items():
         body = body.replace("{" + key + "}", str(value))
     return P + body
+
+
+# ---- short posts derived from the events ----------------------------------------
+def _pick(words, index):
+    return F.get(F.array(*[F.lit(w) for w in words]), index.cast("int"))
+
+
+def posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions with a short synthetic text that carries every kind of entity."""
+    from ..params import BRANDS, LOCATIONS, ORGS
+
+    m = mentions(spark, sf)
+    i, u = F.col("external_id"), F.col("author_id")
+    b = _pick(BRANDS, i % 30)
+    text = F.concat(
+        b, F.lit(" rumor via @user"), u.cast("string"), F.lit(" #topic"), (i % 7).cast("string"),
+        F.when(i % 3 == 0, F.concat(F.lit(" $"), F.upper(F.substring(b, 1, 3)))).otherwise(""),
+        F.when(i % 4 == 0, F.concat(F.lit(" cve-2024-"), (1000 + i % 50).cast("string"))).otherwise(""),
+        F.when(i % 2 == 0, F.concat(F.lit(" RTX"), (100 + i % 40).cast("string"))).otherwise(""),
+        F.lit(" "), _pick(ORGS, u % 20), F.lit(" in "), _pick(LOCATIONS, i % 30),
+        F.when(i % 11 == 0, " breaking news").otherwise(""),
+        F.when(i % 10 == 0, F.concat(F.lit(" mail"), u.cast("string"), F.lit("@e.test"))).otherwise(""),
+        F.lit(" "), F.col("url"))
+    return m.withColumn("text", text)
+
+
+def _list(words):
+    return "[" + ",".join("'" + w + "'" for w in words) + "]"
+
+
+def posts_sql() -> str:
+    """CTE ``po``: the same posts."""
+    from ..params import BRANDS, LOCATIONS, ORGS
+
+    b = f"{_list(BRANDS)}[external_id % 30 + 1]"
+    return f"""
+, po AS (SELECT *, {b} || ' rumor via @user' || author_id || ' #topic' || (external_id % 7)
+  || CASE WHEN external_id % 3 = 0 THEN ' $' || upper(substr({b}, 1, 3)) ELSE '' END
+  || CASE WHEN external_id % 4 = 0 THEN ' cve-2024-' || (1000 + external_id % 50) ELSE '' END
+  || CASE WHEN external_id % 2 = 0 THEN ' RTX' || (100 + external_id % 40) ELSE '' END
+  || ' ' || {_list(ORGS)}[author_id % 20 + 1] || ' in ' || {_list(LOCATIONS)}[external_id % 30 + 1]
+  || CASE WHEN external_id % 11 = 0 THEN ' breaking news' ELSE '' END
+  || CASE WHEN external_id % 10 = 0 THEN ' mail' || author_id || '@e.test' ELSE '' END || ' ' || url AS text FROM m)"""
