@@ -110,53 +110,47 @@ def near_duplicate_groups(sets: DataFrame, threshold: float = params.JACCARD_MIN
 
 
 # ---- leader clustering -------------------------------------------------------------
-def leaders(
-    items: DataFrame,
-    buckets: DataFrame,
-    gate,
-    max_rounds: int = 200,
-) -> DataFrame:
-    """Leader clustering in input order: (id, leader).
-
-    ``items``: (id, ord, features...) with unique ``ord``. ``buckets``: (id,
-    bucket), lossless for ``gate``. ``gate(pairs)`` gets columns ``a_*`` (leader)
-    and ``b_*`` (later item) and returns the pairs that match, with ``score``.
+def leaders(items: DataFrame, buckets: DataFrame, gate, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Leader clustering in input order.
+
+    ``items``: (id, ord, last_ord, features...) with unique ``ord``; ``last_ord``
+    is the position of the item's last copy. ``buckets``: (id, bucket), lossless
+    for ``gate``. ``gate(pairs)`` gets columns ``a_*`` (leader) and ``b_*`` (later
+    item) and returns the pairs that match, with ``score``.
 
     An item is a leader iff no earlier leader matches it, which is what a
     sequential pass decides. In every round the undecided items that come first
     in all their buckets are leaders; undecided items that match one of them are
-    members. Only (leader, member) pairs are ever formed. Members finally take
-    the best of all earlier leaders.
+    members. Only (leader, member) pairs are ever formed.
+
+    Returns the leaders (id, ord) and all matches (leader, leader_ord, id, score)
+    a copy of ``id`` could follow.
     """
-    feats = [c for c in items.columns if c not in ("id", "ord")]
-    slots = cut(buckets.join(items.select("id", "ord"), "id").select("id", "ord", "bucket").distinct())
-    left = slots
-    found = None
+    feats = [c for c in items.columns if c not in ("id", "ord", "last_ord")]
+    slots = cut(buckets.join(items.select("id", "ord", "last_ord"), "id").select("id", "ord", "last_ord", "bucket").distinct())
+    left, found = slots, None
     for _ in range(max_rounds):
         head = left.groupBy("bucket").agg(F.min("ord").alias("head"))
         ahead = left.join(head, "bucket").groupBy("id", "ord").agg(F.min("head").alias("head"))
-        fresh = cut(ahead.where("head = ord").select("id"))
+        fresh = cut(ahead.where("head = ord").select("id", "ord"))
         found = fresh if found is None else found.unionByName(fresh)
-        hit = _match(fresh, left, left, items, feats, gate).select("id").distinct()
-        left = cut(left.join(fresh.unionByName(hit), "id", "left_anti"))
+        hit = _match(fresh, left, left, items, feats, gate, "ord").select("id").distinct()
+        left = cut(left.join(fresh.select("id").unionByName(hit), "id", "left_anti"))
         if left.limit(1).count() == 0:
             break
     else:
         raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
     chosen = cut(found)
-    best = _match(chosen, slots, slots, items, feats, gate).groupBy("id").agg(
-        F.max_by("leader", F.struct("score", -F.col("leader_ord"))).alias("leader"))
-    members = best.join(chosen, "id", "left_anti")
-    return chosen.select("id", F.col("id").alias("leader")).unionByName(members.select("id", "leader"))
+    return chosen, _match(chosen, slots, slots, items, feats, gate, "last_ord")
 
 
-def _match(lead: DataFrame, lead_slots: DataFrame, slots: DataFrame, items: DataFrame, feats: list[str], gate) -> DataFrame:
-    """Matching (leader, later item) pairs among those sharing a bucket."""
+def _match(lead: DataFrame, lead_slots: DataFrame, slots: DataFrame, items: DataFrame, feats: list[str], gate, upto: str) -> DataFrame:
+    """Matching (leader, item) pairs among those sharing a bucket."""
     mine = lead_slots.join(lead, "id", "left_semi").select(F.col("id").alias("leader"), F.col("ord").alias("leader_ord"), "bucket")
-    pairs = mine.join(slots, "bucket").where("ord > leader_ord").select("leader", "leader_ord", "id").distinct()
+    pairs = mine.join(slots, "bucket").where((F.col(upto) > F.col("leader_ord")) & (F.col("id") != F.col("leader")))
     a = items.select(F.col("id").alias("leader"), *[F.col(c).alias(f"a_{c}") for c in feats])
     b = items.select("id", *[F.col(c).alias(f"b_{c}") for c in feats])
-    return gate(pairs.join(a, "leader").join(b, "id"))
+    return gate(pairs.select("leader", "leader_ord", "id").distinct().join(a, "leader").join(b, "id"))
 
 
 # ---- similarity graph --------------------------------------------------------------

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import params
-from ..functions import entities as ent
 from ..functions import text as tx
 from ..functions.times import fmt
-from ..operators import dedup, graph, vectors
+from ..operators import clusters, dedup, graph, vectors
 from .registry import query
 from .text import normalise_sql, tokens_sql
 from .views import mentions, posts, posts_sql, sql, table
@@ -221,35 +219,6 @@ def e6(spark, sf):
     return d.select("label", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-# ---- leader clustering -----------------------------------------------------------------
-def three_stage_gate(jaccard_min=params.JACCARD_MIN, cosine_min=params.COSINE_LIVE, veto="asymmetric"):
-    """Signature Jaccard, then embedding cosine, then the rigid entity veto."""
-
-    def gate(pairs):
-        j = dedup.signature_jaccard(F.col("a_sig"), F.col("b_sig"))
-        near = pairs.withColumn("j", j).where(F.col("j") >= jaccard_min)
-        near = near.withColumn("c", vectors.cosine(F.col("a_emb"), F.col("b_emb"))).where(F.col("c") >= cosine_min)
-        clash = ent.rigid_veto(F.col("b_ents"), F.col("a_ents"), veto)
-        return near.where(~clash).select("leader", "leader_ord", "id", (0.5 * F.col("j") + 0.5 * F.col("c")).alias("score"))
-
-    return gate
-
-
-def leader_clusters(docs, **gate):
-    """Leader clusters of (id, text) in id order. Equal texts are folded first."""
-    from ..session import cut
-
-    keyed = docs.select("id", "text", F.md5("text").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("id").alias("first"))
-    fold = cut(keyed.select("id", "key").join(first, "key").select("id", "first"))
-    uniq = docs.join(fold.where("id = first").select("id"), "id")
-    sig = dedup.minhash(uniq, "id", tx.tokens(F.col("text"))).select("id", "sig")
-    items = cut(uniq.select("id", F.col("id").alias("ord"), vectors.embed_text(F.col("text"), "padded").alias("emb"),
-                            ent.entity_array(F.col("text")).alias("ents")).join(sig, "id"))
-    out = graph.leaders(items, dedup.lossless_bands(items, "id"), three_stage_gate(**gate))
-    return fold.join(out.select(F.col("id").alias("first"), "leader"), "first").select("id", "leader")
-
-
 @query("c1_leader_clusters")
 def c1(spark, sf):
-    return leader_clusters(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return clusters.leader_clusters(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
