@@ -31,8 +31,12 @@ def now_of(spark: SparkSession, sf: str) -> datetime:
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     """One mention per event. Columns not used by a query are never read."""
-    e = table(spark, sf, "events")
     docs = table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
+    return as_mentions(table(spark, sf, "events"), docs)
+
+
+def as_mentions(e: DataFrame, docs) -> DataFrame:
+    """Events as mentions; ``docs`` is the number of documents. Works on streams."""
     kind = F.col("event_type")
     source = (
         F.when(kind == "click", "reddit").when(kind == "view", "bluesky").when(kind == "purchase", "x")
@@ -107,9 +111,12 @@ def _pick(words, index):
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions with a short synthetic text that carries every kind of entity."""
+    return with_post_text(mentions(spark, sf))
+
+
+def with_post_text(m: DataFrame) -> DataFrame:
     from ..params import BRANDS, LOCATIONS, ORGS
 
-    m = mentions(spark, sf)
     i, u = F.col("external_id"), F.col("author_id")
     b = _pick(BRANDS, i % 30)
     text = F.concat(
