@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["early", "windowed", "text", "dedup", "lists", "analysis", "intake"]
+MODULES = ["early", "windowed", "text", "dedup", "lists", "analysis", "intake", "streams"]
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")

@@ -279,7 +279,7 @@ def k1(spark, sf):
 
 
 LOG_SQL = """
-, lg AS (SELECT external_id, epoch_ms(published_at) AS ts_ms, row_number() OVER (PARTITION BY epoch_ms(published_at) ORDER BY external_id) AS seq FROM m),
+, lg AS (SELECT external_id, epoch_us(published_at) // 1000 AS ts_ms, row_number() OVER (PARTITION BY epoch_us(published_at) // 1000 ORDER BY external_id) AS seq FROM m),
 tail AS (SELECT * FROM lg ORDER BY ts_ms DESC, seq DESC LIMIT 1000)"""
 
 
