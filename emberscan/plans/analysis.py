@@ -13,7 +13,7 @@ from .derived import RULES_SQL, SAVED_SQL, STEP, TICKS, TREND_ROWS, posts_full,
 from .early import TRENDS, profile, profile_sql, scored
 from .lists import VIEW, view
 from .registry import query
-from .views import SCALE, mentions, now_of, posts, posts_sql, sql, table, texts
+from .views import SCALE, documents, mentions, now_of, posts, posts_sql, sql, table, text_hashes, texts
 from .text import normalise_sql
 from .windowed import TS_SQL, bucket_sql, scores_6h
 
@@ -182,7 +182,7 @@ def a37(spark, sf):
 c AS (SELECT count(*) FILTER (predicted AND actual) AS tp, count(*) FILTER (predicted AND NOT actual) AS fp, count(*) FILTER (NOT predicted AND actual) AS fn, count(*) FILTER (NOT predicted AND NOT actual) AS tn FROM e)
 SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_positive_rate FROM c""".replace(", e AS", "WITH e AS", 1))
 def a38(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") > 2000).alias("predicted"))
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), (F.col("n_chars") > 2000).alias("predicted"))
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("actual"))
     return reports.evaluate(d, lab).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "false_positive_rate")})
 
@@ -304,7 +304,7 @@ s AS (SELECT item_id AS query_id, doc_id, sum(qn.c * ln((n - df + 0.5) / (df + 0
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""".replace(", t AS", "WITH t AS", 1))
 def w12(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("q"))
-    return search.bm25(q, table(spark, sf, "documents"), "doc_id", "text", 10).withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score", "rank")
+    return search.bm25(q, documents(spark, sf), "doc_id", "text", 10).withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score", "rank")
 
 
 @query("w13_fuzzy_names", """
@@ -322,7 +322,7 @@ def w13(spark, sf):
 SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+'), 'the')
   AND list_contains(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+'), 'and')""")
 def w13c(spark, sf):
-    return search.contains_all(table(spark, sf, "documents"), "doc_id", "text", ["the", "AND"])
+    return search.contains_all(documents(spark, sf), "doc_id", "text", ["the", "AND"])
 
 
 # ---- trust -------------------------------------------------------------------------------
@@ -366,7 +366,7 @@ ft AS (SELECT * EXCLUDE (j), j / (n * (n - 1) / 2.0) AS hashtag_jaccard, 1 - bur
 
 
 def features(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.sha1(tx.normalise(F.col("text"))).alias("text_hash"), "lang")
+    d = text_hashes(spark, sf)
     i = F.col("external_id")
     tags = F.array_compact(F.array(
         F.concat(F.lit("topic"), (i % 7).cast("string")), F.when(i % 5 == 0, F.concat(F.lit("alt"), (i % 3).cast("string"))),

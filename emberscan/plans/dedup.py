@@ -9,7 +9,7 @@ from ..functions.times import fmt
 from ..operators import clusters, dedup, graph, vectors
 from .registry import query
 from .text import normalise_sql, tokens_sql
-from .views import mentions, posts, posts_sql, sql, table
+from .views import documents, mentions, posts, posts_sql, sql, table, text_hashes
 
 
 @query("d1_exact_dedup", sql("""
@@ -25,14 +25,14 @@ def d1(spark, sf):
 g AS (SELECT h, external_id, published_at, lag(published_at) OVER (PARTITION BY h ORDER BY published_at) AS prev FROM m JOIN t USING (doc_id))
 SELECT h AS text_hash, external_id FROM g WHERE prev IS NULL OR published_at - prev > INTERVAL 6 HOUR"""))
 def d2(spark, sf):
-    h = table(spark, sf, "documents").select("doc_id", F.sha1(tx.normalise(F.col("text"))).alias("text_hash"))
+    h = text_hashes(spark, sf).select("doc_id", "text_hash")
     rows = mentions(spark, sf).select("doc_id", "published_at", "external_id").join(h, "doc_id")
     return dedup.content_dedup(rows, "text_hash", "published_at", "external_id")
 
 
 @query("d3_minhash_signatures")
 def d3(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     return dedup.minhash(d, "doc_id", tx.tokens(F.col("text")))
 
 
@@ -66,7 +66,7 @@ comp AS (SELECT src AS id, min(dst) AS component FROM reach GROUP BY 1)
 
 
 def groups(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tx.token_set(F.col("text")).alias("toks"))
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), tx.token_set(F.col("text")).alias("toks"))
     return graph.near_duplicate_groups(d)
 
 
@@ -120,7 +120,7 @@ SELECT cluster_id, count(*) AS docs, count(DISTINCT h) AS texts FROM d GROUP BY
 def d13(spark, sf):
     """Id from the first 200 normalised characters; ``texts`` > 1 shows shared ids."""
     n = tx.normalise(F.col("text"))
-    d = table(spark, sf, "documents").select(
+    d = documents(spark, sf).select(
         F.concat(F.lit("cl_"), F.substring(F.sha1(F.substring(n, 1, 200)), 1, 12)).alias("cluster_id"), F.sha1(n).alias("h"))
     return d.groupBy("cluster_id").agg(F.count("*").alias("docs"), F.count_distinct("h").alias("texts"))
 
@@ -148,7 +148,7 @@ def d14s(spark, sf):
 @query("d15_simhash_distinct")
 def d15(spark, sf):
     """SimHash buckets as stars, and the approximate distinct content per source."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    d = documents(spark, sf).select("doc_id", "source", "text")
     s = dedup.simhash(d, "doc_id", tx.tokens(F.col("text")))
     quarters = s.select("doc_id", F.posexplode(F.array("q0", "q1", "q2", "q3")).alias("quarter", "value"))
     star = dedup.bucket_hubs(quarters, "doc_id", ["quarter", "value"])
@@ -164,12 +164,12 @@ def d15(spark, sf):
 # ---- vectors ---------------------------------------------------------------------------
 @query("e1_embed_signed")
 def e1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", vectors.embed_text(F.col("text")).alias("embedding"))
+    return documents(spark, sf).select("doc_id", vectors.embed_text(F.col("text")).alias("embedding"))
 
 
 @query("e2_embed_padded")
 def e2(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", vectors.embed_text(F.col("text"), "padded").alias("embedding"))
+    return documents(spark, sf).select("doc_id", vectors.embed_text(F.col("text"), "padded").alias("embedding"))
 
 
 @query("e3_cosine_to_centroid", """
@@ -221,4 +221,4 @@ def e6(spark, sf):
 
 @query("c1_leader_clusters")
 def c1(spark, sf):
-    return clusters.leader_clusters(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return clusters.leader_clusters(documents(spark, sf).select(F.col("doc_id").alias("id"), "text"))

@@ -112,7 +112,7 @@ def t9(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     base = f"{shared_dir(spark)}/k-{uuid.uuid4().hex}"
     store = clustering.LeaderStore(spark, f"{base}/store")
-    q = landed(d, 3, "id").writeStream.foreachBatch(store.assign).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
+    q = landed(d, 3, "id").repartition(spark.sparkContext.defaultParallelism).writeStream.foreachBatch(store.assign).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     return store.assignments()
 

@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions.times import fmt
 from ..operators import mining
 from .registry import query
-from .views import _list, mentions, now_of, posts, posts_sql, sql, table
+from .views import _list, documents, mentions, now_of, posts, posts_sql, spread, sql, table
 
 SP = tx.SPACE.replace("'", "''")
 NSP = tx.NON_SPACE
@@ -54,7 +54,7 @@ def entities_sql(col: str) -> str:
 SELECT doc_id, sha1({normalise_sql('text')}) AS text_hash, sha1(doc_id || '|' || {normalise_sql('text')}) AS content_hash,
   CAST(length({normalise_sql('text')}) AS INTEGER) AS n FROM documents""")
 def p2(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", tx.normalise(F.col("text")).alias("norm"))
+    d = documents(spark, sf).select("doc_id", "text", tx.normalise(F.col("text")).alias("norm"))
     return d.select("doc_id", F.sha1("norm").alias("text_hash"),
                     F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), "norm")).alias("content_hash"), F.length("norm").alias("n"))
 
@@ -63,7 +63,7 @@ def p2(spark, sf):
 SELECT doc_id, CAST(len({tokens_sql('text')}) AS INTEGER) AS n_tokens, CAST(len(list_distinct({tokens_sql('text')})) AS INTEGER) AS n_distinct,
   sha1(array_to_string(list_sort(list_distinct({tokens_sql('text')})), ' ')) AS set_hash FROM documents""")
 def p3(spark, sf):
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     t = F.col("text")
     return d.select("doc_id", F.size(tx.tokens(t)).alias("n_tokens"), F.size(tx.token_set(t)).alias("n_distinct"),
                     F.sha1(F.array_join(tx.token_set(t), " ")).alias("set_hash"))
@@ -82,7 +82,7 @@ def p5(spark, sf):
 @query("p6_strip_html", f"SELECT page_id, sha1({strip_html_sql('html')}) AS text_hash, CAST(length({strip_html_sql('html')}) AS INTEGER) AS n FROM pages")
 def p6(spark, sf):
     h = tx.strip_html(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.sha1(h).alias("text_hash"), F.length(h).alias("n"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.sha1(h).alias("text_hash"), F.length(h).alias("n"))
 
 
 @query("p7_parse_dates", """
@@ -101,7 +101,7 @@ def p7(spark, sf):
 SELECT id, relevant FROM (SELECT id, list_bool_or(list_transform({_list(params.DOMAIN_KEYWORDS)}, lambda w: contains(lower(text), w)))
    OR list_bool_or(list_transform(['reationed', 'the'], lambda w: length(w) > 3 AND contains(lower(text), w))) AS relevant FROM po2)""".replace(", po2", "WITH po2", 1).replace("list_bool_or(", "list_aggregate(").replace("lower(text), w))) ", "lower(text), w)), 'bool_or') ").replace("contains(lower(text), w)))\n", "contains(lower(text), w)), 'bool_or')\n"))
 def p12(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("id"), ent.is_relevant(F.col("text"), ["reationed", "the"]).alias("relevant"))
 
 
@@ -111,7 +111,7 @@ SELECT doc_id, sha1(trim(regexp_replace(regexp_replace(replace(replace(regexp_re
   '`([^`]+)`', '\\1', 'g'), '\\"', '"'), '\\''', ''''), '<[^>]+>', '', 'g'), '{SP}+', ' ', 'g'))) AS clean_hash FROM d""".replace("{SP}", SP))
 def p15(spark, sf):
     t = F.concat(F.lit("```json\n"), F.substring("text", 1, 40), F.lit('``` `code` \\"q\\" <b>'), F.col("text"), F.lit("</b>"))
-    return table(spark, sf, "documents").select("doc_id", F.sha1(tx.sanitise(t)).alias("clean_hash"))
+    return documents(spark, sf).select("doc_id", F.sha1(tx.sanitise(t)).alias("clean_hash"))
 
 
 @query("p17_mask_key", "SELECT c_custkey, substr(c_name, 1, 5) || '…' || right(c_name, 4) AS masked FROM customer")
@@ -125,7 +125,7 @@ h AS (SELECT *, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1) AS he
 SELECT page_id, lower(head) || regexp_replace(substr(u, length(head) + 1), '/+$', '') AS canonical,
   lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host FROM h""")
 def p19(spark, sf):
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", tx.canonical_url(F.col("url")).alias("canonical"), tx.url_host(F.col("url")).alias("host"))
 
 
@@ -142,7 +142,7 @@ def n1(spark, sf):
 WITH en AS (SELECT doc_id, unnest(list_distinct({entities_sql('text')})) AS e FROM documents)
 SELECT split_part(e, ':', 1) AS type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM en GROUP BY 1""")
 def n1d(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(ent.entity_array(F.col("text"))).alias("e"))
+    d = documents(spark, sf).select("doc_id", F.explode(ent.entity_array(F.col("text"))).alias("e"))
     return d.groupBy(F.col("e.type").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -214,7 +214,7 @@ CLASSES = {"articles": ["the", "les", "der", "los"], "links": ["que", "und", "an
 SELECT doc_id, CASE WHEN greatest(articles, links, places) = 0 THEN 'none' WHEN articles >= links AND articles >= places THEN 'articles'
   WHEN links >= places THEN 'links' ELSE 'places' END AS class FROM v""")
 def n9(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", ent.keyword_vote(F.col("text"), CLASSES, "none").alias("class"))
+    return documents(spark, sf).select("doc_id", ent.keyword_vote(F.col("text"), CLASSES, "none").alias("class"))
 
 
 @query("n10_impact", sql(posts_sql() + """

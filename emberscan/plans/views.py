@@ -21,6 +21,32 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give row-wise heavy work enough tasks when the input has only a few splits.
+
+    A large table already has more splits than cores and is returned as it is, so
+    nothing is shuffled there.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
+def text_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash of the normalised text per document, partitioned for joins on doc_id.
+
+    The exchange is the one a join on doc_id needs anyway; it also keeps a
+    broadcast join from repeating the hash for every matching row.
+    """
+    from ..functions import text as tx
+
+    d = documents(spark, sf).select("doc_id", "lang", F.sha1(tx.normalise(F.col("text"))).alias("text_hash"))
+    return d.repartition("doc_id")
+
+
 def now_of(spark: SparkSession, sf: str) -> datetime:
     """Clock of a data set: its latest event. One column, answered from footers."""
     if sf not in _NOW:
@@ -111,7 +137,7 @@ def _pick(words, index):
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions with a short synthetic text that carries every kind of entity."""
-    return with_post_text(mentions(spark, sf))
+    return with_post_text(spread(mentions(spark, sf)))
 
 
 def with_post_text(m: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # The score is a long chain of named columns. Inferring constraints through
+    # such a chain doubles with every name, so a filter on the score would be
+    # planned for half a minute. Written filters are pushed down regardless, and
+    # joins on columns that may be NULL filter them explicitly.
+    "spark.sql.constraintPropagation.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
