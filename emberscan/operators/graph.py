@@ -59,7 +59,9 @@ def _prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
     freq = tok.groupBy("tok").agg(F.count("*").alias("df"))
     per = tok.join(freq, "tok").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("x"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    return per.select("id", "n", F.explode(F.slice("x", 1, keep.cast("int"))).alias("e")).select(F.col("e.tok").alias("tok"), "id", "n")
+    head = per.select("id", "n", F.explode(F.slice("x", 1, keep.cast("int"))).alias("e"))
+    # A token of one set only counts for the head's length but can match nothing.
+    return head.where("e.df > 1").select(F.col("e.tok").alias("tok"), "id", "n")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -82,7 +84,8 @@ def near_duplicate_groups(sets: DataFrame, threshold: float = params.JACCARD_MIN
     3. buckets that still hold several groups compare the members outside the
        bucket's largest group with the rest, never members of one group.
     """
-    base = sets.select("id", "toks", F.size("toks").alias("n"), F.md5(F.array_join("toks", "\x1f")).alias("key"))
+    # Written once: tokenising is the dearest step and its result is read twice.
+    base = cut(sets.select("id", "toks")).select("id", "toks", F.size("toks").alias("n"), F.md5(F.array_join("toks", "\x1f")).alias("key"))
     solid = base.where("n > 0")
     reps = solid.groupBy("key").agg(F.min("id").alias("rep"))
     fold = cut(solid.join(reps, "key").select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("toks")).alias("toks")))
