@@ -42,3 +42,14 @@ def entropy(total: Column, sum_xlog2x: Column, classes: Column) -> Column:
     """
     h = F.log2(total.cast("double")) - sum_xlog2x / total
     return h / F.log2(classes.cast("double"))
+
+
+def fixed1(x: Column) -> Column:
+    """Non-negative ``x`` with one decimal as text, rounded on its exact binary value.
+
+    The whole part is taken off first, which is exact, so 39.05 (a little less
+    than that in binary) gives 39.0.
+    """
+    whole = F.floor(x)
+    n = whole * 10 + js_round((x - whole) * 10)
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as tx
-from ..functions.numeric import clamp, js_round
+from ..functions.numeric import clamp, fixed1, js_round
 from ..functions.times import micros, ts, within
 from .profile import lookup
 
@@ -141,7 +141,7 @@ def briefing(trends: DataFrame, latest: DataFrame) -> DataFrame:
         "trend_id", F.concat_ws(" ", what, matters, quote).alias("narrative"),
         F.array(
             F.format_string("%d menc/hora (15min)", hourly), F.format_string("%d menciones · %d autores", F.col("mentions"), F.col("unique_authors")),
-            F.concat(F.lit("Fuentes: "), srcs), F.format_string("Score: %.1f/100", F.col("score")),
+            F.concat(F.lit("Fuentes: "), srcs), F.concat(F.lit("Score: "), fixed1(F.col("score")), F.lit("/100")),
             F.when(tech, "Tendencia técnica (sin respaldo social aún)").otherwise("Respaldado por redes sociales")).alias("key_points"),
         F.array_compact(F.array(
             F.when(p > 0.4, "Spam/bot detectado"), F.when((p >= 0.3) & (p < 0.4), "Posible bot"),

@@ -208,7 +208,7 @@ oq AS (SELECT trend_id, avg(coalesce(author_quality, 0.5)) AS origin_quality,
 ag AS (SELECT trend_id, count(*) AS mentions, count(*) / {float(w.hours)} AS v_raw, count(DISTINCT author_id) AS unique_authors,
     count(DISTINCT source) AS unique_sources, count(DISTINCT coalesce(community, source)) AS unique_communities,
     count(DISTINCT CASE WHEN source IN ('rss', 'gdelt') THEN url END) AS media_sources, avg(bot_score) AS bot,
-    sum(author_quality * exp(-age_s / 21600) * sentiment) / nullif(sum(author_quality * exp(-age_s / 21600)), 0) AS sentiment,
+    coalesce(sum(author_quality * exp(-age_s / 21600) * sentiment) / nullif(sum(author_quality * exp(-age_s / 21600)), 0), 0) AS sentiment,
     max(published_at) AS last_seen FROM inw GROUP BY 1),
 sl AS (SELECT trend_id, max(v) FILTER (b = {last}) AS v_ewma, stddev_pop(v) AS sigma,
     (max(v) FILTER (b = {last}) - max(v) FILTER (b = {last - q})) / {dt} AS short,
