@@ -6,10 +6,11 @@ returns the next stage's documents. ``run`` applies them to ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscan.llm import crf_quality, debruijn, decontaminate, hamming_join
+from emberscan.llm import crf_quality, debruijn, decontaminate, hamming_join, packing
 from emberscan.llm.stage import written
 
 
@@ -37,7 +38,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return marked.where("__mask is null").select(docs.columns)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_spans", repeated_spans), ("decontamination", decontamination)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_spans", repeated_spans), ("decontamination", decontamination), ("packing", pack)]
 
 #: The fitted field of the first stage can't be said in SQL; tests/llm holds every stage against plain Python.
 ORACLE_SQL = None

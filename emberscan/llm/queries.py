@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_quality, debruijn, decontaminate, hamming_join, licences
+from ..session import shared_dir
+from . import crf_quality, debruijn, decontaminate, hamming_join, licences, packing, wavelet
 from .words import documents
 
 
@@ -31,17 +35,30 @@ def op4_hamming_near_duplicates(spark, sf):
     return hamming_join.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op5_best_two_fit(spark, sf):
+    """All documents packed into sequences of at most 2048 ids."""
+    return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_decontaminate(spark, sf):
     """Documents that hold windows of benchmark items."""
     return decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op8_wavelet_tokens(spark, sf):
+    """Token files of all documents, and their index as read back from the files."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    wavelet.write_tokens(_table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return wavelet.read_index(spark, path)
+
+
 def op10_licence_scan(spark, sf):
     """The best licence notice of every document."""
     return licences.licence_scan(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_crf_quality, op3_debruijn_spans, op4_hamming_near_duplicates, op6_decontaminate, op10_licence_scan)}
+QUERIES = {f.__name__: f for f in (op1_crf_quality, op3_debruijn_spans, op4_hamming_near_duplicates, op5_best_two_fit, op6_decontaminate,
+                                  op8_wavelet_tokens, op10_licence_scan)}
 
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
