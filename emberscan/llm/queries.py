@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import crf_quality, debruijn, decontaminate, hamming_join, licences, packing, wavelet
+from . import ann_lsh, crf_quality, debruijn, decontaminate, fixity, hamming_join, licences, packing, url_templates, wavelet
 from .words import documents
 
 
@@ -25,6 +25,11 @@ def op1_crf_quality(spark, sf):
         "doc_id", crf_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= crf_quality.LIMIT).cast("int").alias("predicted"))
 
 
+def op2_multiprobe_lsh(spark, sf):
+    """The five nearest vectors of every vector whose id 50 divides."""
+    return ann_lsh.nearest(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_debruijn_spans(spark, sf):
     """Words of every document that lie in a window of 20 words seen earlier."""
     return debruijn.repeated_spans(_table(spark, sf, "documents")).drop("mask")
@@ -45,6 +50,12 @@ def op6_decontaminate(spark, sf):
     return decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op7_merkle_fixity(spark, sf):
+    """Records of all pages against a replica with planted faults: what the audit locates."""
+    pages = _table(spark, sf, "pages")
+    return fixity.audit(pages, fixity.damaged(pages))
+
+
 def op8_wavelet_tokens(spark, sf):
     """Token files of all documents, and their index as read back from the files."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -52,13 +63,19 @@ def op8_wavelet_tokens(spark, sf):
     return wavelet.read_index(spark, path)
 
 
+def op9_url_templates(spark, sf):
+    """Every page's url judged by the rules, and else by its path template."""
+    return url_templates.judge(_table(spark, sf, "pages")).drop("template")
+
+
 def op10_licence_scan(spark, sf):
     """The best licence notice of every document."""
     return licences.licence_scan(_table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_crf_quality, op3_debruijn_spans, op4_hamming_near_duplicates, op5_best_two_fit, op6_decontaminate,
-                                  op8_wavelet_tokens, op10_licence_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_crf_quality, op2_multiprobe_lsh, op3_debruijn_spans, op4_hamming_near_duplicates, op5_best_two_fit, op6_decontaminate,
+    op7_merkle_fixity, op8_wavelet_tokens, op9_url_templates, op10_licence_scan)}
 
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -97,5 +114,6 @@ it AS (SELECT doc_id, count(*) c, string_agg(i, ',' ORDER BY i) l FROM (SELECT D
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.c, 0)::BIGINT AS n_hit, coalesce(it.c, 0)::BIGINT AS n_items,
        sha256(coalesce(l, '')) AS items_sha256, coalesce(hit.c, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op7_merkle_fixity": fixity.ORACLE,
     "op10_licence_scan": licences.oracle(),
 }
