@@ -91,19 +91,15 @@ def rollup(posts: DataFrame, sources: list[str] | None = None) -> DataFrame:
 def merge_pairs(checks: DataFrame, min_cosine: float = 0.85) -> DataFrame:
     """Pairs of clusters close in two consecutive checks; the older id survives.
 
-    ``checks``: (check_no, id, born, centroid). Close pairs come from the cell
-    search, one search per check; a job looks at the current check and a few
-    before it.
+    ``checks``: (check_no, id, born, centroid). All checks are searched at once,
+    pairs forming inside a check only; a pair of one check is then joined with
+    the same pair of the check before.
     """
-    nos = [r[0] for r in checks.select("check_no").distinct().orderBy("check_no").limit(64).collect()]
-    close = None
-    for no in nos:
-        c = checks.where(F.col("check_no") == no).select("id", F.col("centroid").alias("vec"))
-        n = vectors.nearest(c, c, 1_000_000, min_cosine, earlier_only=True, cells=16)
-        n = n.select(F.lit(no).alias("check_no"), F.col("neighbour").alias("a"), F.col("id").alias("b"))
-        close = n if close is None else close.unionByName(n)
-    w = Window.partitionBy("a", "b").orderBy("check_no")
-    run = close.withColumn("prev", F.lag("check_no").over(w)).where(F.col("prev") == F.col("check_no") - 1)
+    c = checks.select("check_no", "id", F.col("centroid").alias("vec"))
+    n = vectors.nearest(c, c, None, min_cosine, earlier_only=True, cells=16, within="check_no", keep_within=True)
+    close = cut(n.select(F.col("within").cast(checks.schema["check_no"].dataType).alias("check_no"), F.col("neighbour").alias("a"), F.col("id").alias("b")))
+    before = close.select((F.col("check_no") + 1).cast(checks.schema["check_no"].dataType).alias("check_no"), "a", "b")
+    run = close.join(before, ["check_no", "a", "b"], "left_semi")
     born = checks.groupBy("id").agg(F.min("born").alias("born"))
     run = run.groupBy("a", "b").agg(F.min("check_no").alias("check_no"))
     run = run.join(born.select(F.col("id").alias("a"), F.col("born").alias("ab")), "a").join(

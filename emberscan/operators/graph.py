@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..session import cut
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, component) with the smallest id as component.
 
     Every round hooks a node to the smallest label among its neighbours and then
     jumps to the label of that label, so long chains halve per round. Minima
     combine on the map side, which keeps a hub with very many edges cheap. Each
-    round is written to the shared folder; running out of rounds is an error.
+    round is written to the shared folder; the rounds end when no label changes.
     """
     links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = cut(links.union(links.select("b", "a")).where("a <> b").distinct())
     label = cut(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(
             F.min("component").alias("near"))
         hooked = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("hook"))
@@ -31,20 +31,18 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         label = nxt.select("id", "component")
         if not changed:
             return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def roots(nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Root of every node of a forest given as (id, parent), by pointer doubling."""
+def roots(nodes: DataFrame) -> DataFrame:
+    """Root of every node of a forest given as (id, parent), by pointer doubling. A cycle has no root and never ends."""
     cur = cut(nodes.select("id", F.coalesce("parent", "id").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         up = cur.select(F.col("id").alias("root"), F.col("root").alias("next"))
         nxt = cut(cur.join(up, "root", "left").select("id", F.col("root").alias("old"), F.coalesce("next", "root").alias("root")))
         moved = nxt.where("root <> old").limit(1).count()
         cur = nxt.select("id", "root")
         if not moved:
             return cur
-    raise RuntimeError(f"roots did not settle in {max_rounds} rounds")
 
 
 # ---- exact near duplicates -------------------------------------------------------
@@ -113,7 +111,7 @@ def near_duplicate_groups(sets: DataFrame, threshold: float = params.JACCARD_MIN
 
 
 # ---- leader clustering -------------------------------------------------------------
-def leaders(items: DataFrame, buckets: DataFrame, gate, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def leaders(items: DataFrame, buckets: DataFrame, gate, ahead: int = 8, most_ahead: int = 256) -> tuple[DataFrame, DataFrame]:
     """Leader clustering in input order.
 
     ``items``: (id, ord, last_ord, features...) with unique ``ord``; ``last_ord``
@@ -122,9 +120,13 @@ def leaders(items: DataFrame, buckets: DataFrame, gate, max_rounds: int = 200) -
     item) and returns the pairs that match, with ``score``.
 
     An item is a leader iff no earlier leader matches it, which is what a
-    sequential pass decides. In every round the undecided items that come first
-    in all their buckets are leaders; undecided items that match one of them are
-    members. Only (leader, member) pairs are ever formed.
+    sequential pass decides. A round looks at the first undecided items of every
+    bucket. One that is among them in all its buckets and matches no earlier
+    undecided item is a leader; undecided items that match a leader are members.
+    The very first undecided item is always decided, so rounds end by
+    themselves, and a bucket of items that do not match is worked off many at a
+    time: ``ahead`` doubles each round up to ``most_ahead``, which bounds the
+    pairs of a bucket, not what is decided.
 
     Returns the leaders (id, ord) and all matches (leader, leader_ord, id, score)
     a copy of ``id`` could follow.
@@ -132,18 +134,17 @@ def leaders(items: DataFrame, buckets: DataFrame, gate, max_rounds: int = 200) -
     feats = [c for c in items.columns if c not in ("id", "ord", "last_ord")]
     slots = cut(buckets.join(items.select("id", "ord", "last_ord"), "id").select("id", "ord", "last_ord", "bucket").distinct())
     left, found = slots, None
-    for _ in range(max_rounds):
-        head = left.groupBy("bucket").agg(F.min("ord").alias("head"))
-        ahead = left.join(head, "bucket").groupBy("id", "ord").agg(F.min("head").alias("head"))
-        fresh = cut(ahead.where("head = ord").select("id", "ord"))
+    while left.limit(1).count():
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("ord"))
+        front = left.withColumn("place", place).where(F.col("place") <= ahead).drop("place")
+        seen = front.groupBy("id", "ord").agg(F.count("*").alias("n")).join(left.groupBy("id").agg(F.count("*").alias("all")), "id").where("n = all").select("id", "ord")
+        rivals = _match(front.select("id").distinct(), front, front, items, feats, gate, "ord").select("id").distinct()
+        fresh = cut(seen.join(rivals, "id", "left_anti"))
         found = fresh if found is None else found.unionByName(fresh)
         hit = _match(fresh, left, left, items, feats, gate, "ord").select("id").distinct()
         left = cut(left.join(fresh.select("id").unionByName(hit), "id", "left_anti"))
-        if left.limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
-    chosen = cut(found)
+        ahead = min(2 * ahead, most_ahead)
+    chosen = cut(found if found is not None else items.select("id", "ord").limit(0))
     return chosen, _match(chosen, slots, slots, items, feats, gate, "last_ord")
 
 
@@ -157,47 +158,86 @@ def _match(lead: DataFrame, lead_slots: DataFrame, slots: DataFrame, items: Data
 
 
 # ---- similarity graph --------------------------------------------------------------
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Newman modularity of a labelling of undirected, once-listed edges (src, dst, w)."""
-    two_m = edges.agg((2 * F.sum("w")).alias("m")).scalar()
+def modularity(edges: DataFrame, labels: DataFrame, by: str | None = None) -> DataFrame:
+    """Newman modularity of a labelling of undirected, once-listed edges (src, dst, w).
+
+    With ``by`` the edges carry that column and every value of it is a graph of
+    its own; the result has one row for each.
+    """
+    keys = [by] if by else []
     ls = labels.select(F.col("id").alias("src"), F.col("label").alias("ls"))
     ld = labels.select(F.col("id").alias("dst"), F.col("label").alias("ld"))
     lab = edges.join(ls, "src").join(ld, "dst")
-    ends = lab.select(F.col("ls").alias("label"), "w", (F.col("ls") == F.col("ld")).alias("same")).union(
-        lab.select(F.col("ld").alias("label"), "w", (F.col("ls") == F.col("ld")).alias("same")))
-    per = ends.groupBy("label").agg(F.sum("w").alias("deg"), F.sum(F.when(F.col("same"), F.col("w")).otherwise(0.0)).alias("inner"))
-    return per.agg(F.sum(F.col("inner") / two_m - (F.col("deg") / two_m) * (F.col("deg") / two_m)).alias("modularity"))
+    same = F.col("ls") == F.col("ld")
+    ends = lab.select(*keys, F.explode(F.array("ls", "ld")).alias("label"), "w", same.alias("same"))
+    per = ends.groupBy(*keys, "label").agg(F.sum("w").alias("deg"), F.sum(F.when(F.col("same"), F.col("w")).otherwise(0.0)).alias("inner"))
+    # every edge is counted at both ends, so the degrees add up to twice the weight
+    whole = per.groupBy(*keys).agg(F.sum("deg").alias("two_m"), F.sum("inner").alias("inner"), F.sum(F.col("deg") * F.col("deg")).alias("squares"))
+    q = F.col("inner") / F.col("two_m") - F.col("squares") / (F.col("two_m") * F.col("two_m"))
+    return whole.select(*keys, q.alias("modularity"))
 
 
-def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
+def propagate_labels(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Weighted label propagation: (id, label). Ties go to the smallest label.
 
-    A fixed number of rounds: label propagation may swing between states, and its
-    result is judged by ``modularity``.
+    Half of the nodes, by a hash of the id, may move in a round, which keeps two
+    neighbours from swapping labels for ever. It ends once two rounds together
+    raise the weight inside labels by no more than ``tolerance`` of the whole.
     """
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
     both = cut(e.union(e.select("b", "a", "w")))
-    label = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
+    label = cut(nodes.select("id", F.col("id").alias("label")))
+    whole = both.agg(F.sum("w")).first()[0] or 0.0
+    inside, turn = [0.0, 0.0], 0
+    while True:
         seen = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        best = seen.groupBy(F.col("a").alias("id")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("next"))
-        label = cut(label.join(best, "id", "left").select("id", F.coalesce("next", "label").alias("label")))
-    return label
+        best = seen.groupBy(F.col("a").alias("id")).agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("next"))
+        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
+        label = cut(label.join(best, "id", "left").select("id", F.when(moves, F.coalesce("next", "label")).otherwise(F.col("label")).alias("label")))
+        ends = both.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+        inside.append(ends.where("la = lb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
+        turn += 1
+        if turn > 1 and inside[-1] - inside[-3] <= tolerance * whole:
+            return label
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """Page rank over directed edges (src, dst); rank of dangling nodes is spread evenly."""
+def forks(nodes: DataFrame, edges: DataFrame, limit: float = 0.3) -> DataFrame:
+    """Communities of every cluster and whether it forks.
+
+    ``nodes``: (id, cluster); ``edges``: (cluster, src, dst, w), both ends in that
+    cluster. Returns (id, cluster, modularity, split, version): where the
+    modularity of a cluster's communities is below ``limit``, the largest
+    community keeps version 1 and the others become version 2.
+    """
+    label = propagate_labels(nodes.select("id"), edges)
+    q = modularity(edges, label, "cluster")
+    placed = nodes.join(label, "id").join(q, "cluster", "left")
+    size = placed.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    main = size.groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
+    split = F.coalesce(fork_candidates(F.col("modularity"), limit), F.lit(False))
+    return placed.join(main, "cluster").select(
+        "id", "cluster", "modularity", split.alias("split"), F.when(split & (F.col("label") != F.col("main")), 2).otherwise(1).alias("version"))
+
+
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
+    """Page rank over directed edges (src, dst); rank of dangling nodes is spread evenly.
+
+    Rounds end once all ranks together change by no more than ``tolerance``.
+    """
     n = float(nodes.count())
     out = edges.groupBy("src").agg(F.count("*").alias("deg"))
     links = cut(edges.join(out, "src").select("src", "dst", (1.0 / F.col("deg")).alias("share")))
-    rank = nodes.select("id", F.lit(1.0 / n).alias("rank"))
-    for _ in range(rounds):
+    rank = cut(nodes.select("id", F.lit(1.0 / n).alias("rank")))
+    while True:
         given = links.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.sum(F.col("rank") * F.col("share")).alias("got"))
         spent = F.lit(1.0) - given.agg(F.coalesce(F.sum("got"), F.lit(0.0))).scalar()
-        rank = cut(rank.select("id").join(given, "id", "left").select(
-            "id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + spent / n)).alias("rank")))
-    return rank
+        new = cut(rank.join(given, "id", "left").select(
+            "id", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + spent / n)).alias("rank")))
+        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        rank = new.select("id", "rank")
+        if moved <= tolerance:
+            return rank
 
 
 def fork_candidates(modularity_value: Column, limit: float = 0.3) -> Column:

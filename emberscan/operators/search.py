@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def words(text: Column) -> Column:
     """Lower-cased words longer than two letters."""
@@ -12,34 +14,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(clean, r"(?U)\s+"), lambda w: F.length(w) > 2)
 
 
-def postings(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length). Write them once, search them often."""
-    tok = docs.select(id_col, words(F.col(text)).alias("w"))
-    tf = tok.select(id_col, F.explode("w").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
-    return tf, tok.select(id_col, F.size("w").alias("length"))
+def tokenised(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, len, w): the words of every document, written once and searched often."""
+    return cut(docs.select(id_col, words(F.col(text)).alias("w")).select(id_col, F.size("w").alias("len"), "w"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Top ``k`` documents per query. ``queries``: (query_id, q).
 
-    Only postings of query terms are kept: the terms of all queries restrict the
-    document tokens before anything is counted. A repeated query term counts
-    again, as in the usual sum over query tokens.
+    Documents are tokenised once. Only postings of query terms are kept, and
+    they are counted inside the document, where no term is hot. The written
+    postings are then joined with their frequencies and the query terms; both
+    sides are plain tables there, so Spark can split a common term. A repeated
+    query term counts again. Scores are compared at nine decimals, so equal
+    documents rank by id whatever the order of summation.
     """
     qt = queries.select("query_id", F.explode(words(F.col("q"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    tok = docs.select(id_col, words(F.col(text)).alias("w"))
-    length = tok.select(id_col, F.size("w").alias("len"))
-    totals = length.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    terms = qt.select("term").distinct()
-    hit = tok.select(id_col, F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi")
-    tf = hit.groupBy("term", id_col, "len").agg(F.count("*").alias("tf"))
+    qt = cut(qt)
+    tok = tokenised(docs, id_col, text)
+    totals = tok.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    hit = tok.select(id_col, "len", F.explode("w").alias("term")).join(qt.select("term").distinct(), "term", "left_semi")
+    tf = cut(hit.groupBy(id_col, "len", "term").agg(F.count("*").alias("tf")))
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    # The weight of a term in a document does not depend on the query.
-    w = tf.join(df, "term").select(
-        "term", id_col, (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))).alias("w"))
-    score = qt.join(w, "term").groupBy("query_id", id_col).agg(F.sum(F.col("qn") * F.col("w")).alias("score"))
-    win = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")))
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighed = qt.join(df, "term").select("query_id", "term", (F.col("qn") * idf).alias("x"))
+    part = F.col("x") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
+    score = weighed.join(tf, "term").groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
+    win = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
     return score.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
 
 

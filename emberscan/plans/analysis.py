@@ -296,14 +296,14 @@ def t15(spark, sf):
 # ---- search ------------------------------------------------------------------------------
 @query("w12_bm25", r"""
 , t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2) AS w FROM documents),
-q AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS term FROM (SELECT item_id, substr(text, 1, 80) AS text FROM benchmark)),
+q AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)) AS term FROM benchmark),
 qn AS (SELECT item_id, term, count(*) AS c FROM q GROUP BY ALL),
 tf AS (SELECT doc_id, len(w) AS l, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nn AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
 s AS (SELECT item_id AS query_id, doc_id, sum(qn.c * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) AS score FROM qn JOIN tf USING (term) JOIN df USING (term), nn GROUP BY ALL)
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""".replace(", t AS", "WITH t AS", 1))
 def w12(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("q"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     return search.bm25(q, documents(spark, sf), "doc_id", "text", 10).withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score", "rank")
 
 
@@ -500,7 +500,7 @@ def g26(spark, sf):
     m = mentions(spark, sf)
     parent = m.select(F.col("external_id").alias("reply_to"), F.col("author_id").alias("dst"))
     e = m.where("reply_to is not null").join(parent, "reply_to").select(F.col("author_id").alias("src"), "dst").where("src <> dst").distinct()
-    rank = graph.page_rank(m.select(F.col("author_id").alias("id")).distinct(), e, 5).select(F.col("id").alias("author_id"), "rank")
+    rank = graph.page_rank(m.select(F.col("author_id").alias("id")).distinct(), e).select(F.col("id").alias("author_id"), "rank")
     c = F.col
     return trust.origin_parts(m, rank).select(
         "trend_id", "author_id", F.round(trust.origin_quality(c("history"), c("engagement"), c("position"), c("authentic"), c("first"), c("corroborated")), 6).alias("origin_quality"))
