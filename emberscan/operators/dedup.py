@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as tx
+from ..session import cut
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -87,20 +88,36 @@ def merge_keyed(rows: DataFrame, key: str, order: str, fields: list[str]) -> Dat
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[first_filled(c) for c in fields], (F.count("*") - 1).alias("duplicates"))
 
 
+#: Modulus of the permutations: the least prime above 2**32.
+PRIME = 4_294_967_311
+
+
+def permutation(j: int) -> tuple[int, int]:
+    """Factor and shift of permutation ``j``: multiples of two odd constants, the factor below 2**31."""
+    return (j + 1) * 715_827_883 % 2_147_483_647 + 1, (j + 1) * 1_013_904_223 % PRIME
+
+
+def hash32(col: Column, part: int = 0) -> Column:
+    """32 bits of the MD5 of a string as BIGINT, so that any engine can repeat them."""
+    return F.conv(F.substring(F.md5(col), 1 + 8 * part, 8), 16, 10).cast("bigint")
+
+
 def minhash(docs: DataFrame, id_col: str, words: Column, num_perm: int = params.NUM_PERM, width: int = 32) -> DataFrame:
     """MinHash signatures: ``sig`` is an ARRAY of ``num_perm`` BIGINT.
 
-    Distinct tokens are exploded and reduced in blocks of ``width`` minima, which
-    keeps each aggregation inside compiled code. All tokens of a text start in
-    one partition, so map-side combine shuffles one row per text and block.
-    Texts without tokens get a sentinel signature.
+    Distinct tokens are exploded and reduced in blocks of ``width`` minima of
+    linear permutations, which keeps each aggregation inside compiled code. All
+    tokens of a text start in one partition, so map-side combine shuffles one
+    row per text and block. Texts without tokens get a sentinel signature.
     """
     rows = docs.select(id_col, F.array_distinct(words).alias("t"))
-    tok = rows.select(id_col, F.explode_outer("t").alias("tok"))
+    tok = rows.select(id_col, F.explode_outer("t").alias("tok")).select(id_col, hash32(F.col("tok")).alias("h"))
     blocks = num_perm // width
-    spread = tok.select(id_col, "tok", F.explode(F.array(*[F.lit(i) for i in range(blocks)])).alias("blk"))
-    part = spread.groupBy(id_col, "blk").agg(
-        *[F.min(F.xxhash64("tok", F.col("blk") * width + j)).alias(f"h{j}") for j in range(width)], F.count("tok").alias("n"))
+    terms = [F.struct(F.lit(i).alias("blk"), *[F.lit(v).cast("bigint").alias(f"{n}{j}") for j in range(width) for n, v in zip("ab", permutation(i * width + j))])
+             for i in range(blocks)]
+    spread = tok.select(id_col, "h", F.explode(F.array(*terms)).alias("p"))
+    part = spread.groupBy(id_col, F.col("p.blk").alias("blk")).agg(
+        *[F.min((F.col(f"p.a{j}") * F.col("h") + F.col(f"p.b{j}")) % F.lit(PRIME)).alias(f"h{j}") for j in range(width)], F.count("h").alias("n"))
     packed = part.select(id_col, "blk", "n", F.array(*[f"h{j}" for j in range(width)]).alias("h"))
     whole = packed.groupBy(id_col).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("blk", "h"))), lambda s: s["h"])).alias("sig"), F.max("n").alias("n_tokens"))
@@ -110,8 +127,7 @@ def minhash(docs: DataFrame, id_col: str, words: Column, num_perm: int = params.
 
 def bands(signatures: DataFrame, id_col: str, n_bands: int = params.BANDS, rows: int = params.ROWS) -> DataFrame:
     """One row per (band, band hash, id)."""
-    keys = F.array(*[
-        F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * rows + r)) for r in range(rows)]) for b in range(n_bands)])
+    keys = F.array(*[F.md5(F.array_join(F.slice("sig", b * rows + 1, rows), ",")) for b in range(n_bands)])
     return signatures.select(id_col, F.posexplode(keys).alias("band", "band_hash"))
 
 
@@ -140,24 +156,47 @@ def signature_jaccard(a: Column, b: Column) -> Column:
     return same / F.size(a)
 
 
-def bucket_hubs(buckets: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    """Candidates as a star per bucket: every member with the bucket's first id.
+def candidate_pairs(signatures: DataFrame, id_col: str) -> DataFrame:
+    """Pairs of distinct signatures that share a band: a, b (smallest ids), the texts each stands for, shared bands, estimated Jaccard.
 
-    A bucket of n members gives n-1 rows, not n*n; the same pair out of several
-    buckets is reported once with the number of shared buckets.
+    Equal signatures are one class first, so copies give no pairs among
+    themselves. Every pair of classes that shares a band is there.
     """
-    hub = buckets.groupBy(*keys).agg(F.min(id_col).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(hub, keys).where(F.col("hub") != F.col(id_col))
-    return pairs.groupBy("hub", id_col).agg(F.count("*").alias("shared"))
+    classes = cut(signatures.groupBy("sig").agg(F.min(id_col).alias("id"), F.count("*").alias("docs")))
+    b = cut(bands(classes, "id"))
+    pairs = b.select("band", "band_hash", F.col("id").alias("a")).join(b.withColumnRenamed("id", "b"), ["band", "band_hash"]).where("a < b")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("docs").alias(f"docs_{c}"), F.col("sig").alias(f"sig_{c}"))
+    return counted.join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b", "docs_a", "docs_b", "shared", signature_jaccard(F.col("sig_a"), F.col("sig_b")).alias("jaccard_est"))
 
 
 def simhash(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
     """64-bit SimHash: sign of the summed token-hash bits, combined on the map side."""
-    tok = docs.select(id_col, F.explode(F.array_distinct(words)).alias("tok")).select(id_col, F.xxhash64("tok").alias("h"))
+    tok = docs.select(id_col, F.explode(F.array_distinct(words)).alias("tok")).select(id_col, hash32(F.col("tok")).alias("h0"), hash32(F.col("tok"), 1).alias("h1"))
     sums = tok.groupBy(id_col).agg(*[
-        F.sum(F.when(F.getbit("h", F.lit(i)) == 1, 1).otherwise(-1)).alias(f"b{i}") for i in range(64)])
+        F.sum(F.when(F.getbit(f"h{i // 32}", F.lit(i % 32)) == 1, 1).otherwise(-1)).alias(f"b{i}") for i in range(64)])
     bits = F.concat(*[F.when(F.col(f"b{i}") > 0, "1").otherwise("0") for i in range(63, -1, -1)])
-    return sums.select(id_col, bits.alias("bits"), *[F.conv(F.substring(bits, 16 * i + 1, 16), 2, 10).cast("int").alias(f"q{i}") for i in range(4)])
+    return sums.select(id_col, bits.alias("bits"))
+
+
+def near_simhashes(hashes: DataFrame, id_col: str, most: int = 3) -> DataFrame:
+    """Ids whose hash is within ``most`` bits of that of a smaller id.
+
+    Equal hashes are one class: all its ids but the first have a copy. Two
+    classes within ``most`` bits agree in one of ``most + 1`` parts, so the first
+    id of a class is compared with the classes that share a part, and none is
+    missed. The join keeps an id once, however many it is near to.
+    """
+    classes = cut(hashes.groupBy("bits").agg(F.min(id_col).alias("first")))
+    width = 64 // (most + 1)
+    parts = F.array(*[F.substring("bits", 1 + i * width, width if i < most else 64 - i * width) for i in range(most + 1)])
+    spread = classes.select("first", "bits", F.posexplode(parts).alias("part", "value"))
+    earlier = spread.select("part", "value", F.col("first").alias("f"), F.col("bits").alias("fb"))
+    near = spread.join(earlier, (spread["part"] == earlier["part"]) & (spread["value"] == earlier["value"]) & (earlier["f"] < spread["first"])
+                       & (hamming(spread["bits"], earlier["fb"]) <= most), "left_semi").select(F.col("first").alias(id_col)).distinct()
+    copies = hashes.join(classes, "bits").where(F.col(id_col) != F.col("first")).select(id_col)
+    return copies.union(near)
 
 
 def hamming(bits_a: Column, bits_b: Column) -> Column:

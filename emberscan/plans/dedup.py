@@ -30,27 +30,42 @@ def d2(spark, sf):
     return dedup.content_dedup(rows, "text_hash", "published_at", "external_id")
 
 
-@query("d3_minhash_signatures")
+# The permutations of ``dedup.permutation`` as SQL.
+SIGS = f"""
+WITH tk AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS tok FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h FROM tk),
+pm AS (SELECT j, (j + 1) * 715827883 % 2147483647 + 1 AS a, (j + 1) * 1013904223 % {dedup.PRIME} AS b FROM (SELECT unnest(range(128)) AS j)),
+mn AS (SELECT doc_id, j, min((a * h + b) % {dedup.PRIME}) AS v FROM h, pm GROUP BY ALL),
+sg AS (SELECT d.doc_id, coalesce(s, list_transform(range(128), lambda i: CAST(-1 AS BIGINT))) AS sig, coalesce(n, 0) AS n_tokens FROM documents d
+  LEFT JOIN (SELECT doc_id, list(v ORDER BY j) AS s FROM mn GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM h GROUP BY 1) USING (doc_id)),
+bd AS (SELECT doc_id, CAST(band AS INTEGER) AS band, md5(array_to_string(sig[band * 4 + 1:band * 4 + 4], ',')) AS band_hash FROM (SELECT *, unnest(range(32)) AS band FROM sg))
+"""
+
+
+def signatures(spark, sf):
+    return dedup.minhash(documents(spark, sf), "doc_id", tx.tokens(F.col("text")))
+
+
+@query("d3_minhash_signatures", SIGS + "SELECT doc_id, array_to_string(sig, ',') AS sig, n_tokens FROM sg")
 def d3(spark, sf):
-    d = documents(spark, sf)
-    return dedup.minhash(d, "doc_id", tx.tokens(F.col("text")))
+    return signatures(spark, sf).withColumn("sig", F.array_join("sig", ","))
 
 
-@query("d4_lsh_bands")
+@query("d4_lsh_bands", SIGS + "SELECT doc_id, band, band_hash FROM bd")
 def d4(spark, sf):
-    return dedup.bands(d3(spark, sf), "doc_id")
+    return dedup.bands(signatures(spark, sf), "doc_id")
 
 
-@query("d5_d6_j1_lsh_candidates")
+@query("d5_d6_j1_lsh_candidates", SIGS + """
+, cl AS (SELECT sig, min(doc_id) AS id, count(*) AS docs FROM sg GROUP BY 1),
+sh AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM bd x JOIN bd y USING (band, band_hash) WHERE x.doc_id < y.doc_id AND x.doc_id IN (SELECT id FROM cl) AND y.doc_id IN (SELECT id FROM cl) GROUP BY ALL)
+SELECT a, b, p.docs AS docs_a, q.docs AS docs_b, shared, round(len(list_filter(list_zip(p.sig, q.sig), lambda z: z[1] = z[2])) / 128.0, 6) AS jaccard_est
+FROM sh JOIN cl p ON p.id = a JOIN cl q ON q.id = b""")
 def d5(spark, sf):
-    """Star candidates of the 32x4 bands with their estimated Jaccard."""
+    """All pairs of distinct signatures that share one of the 32x4 bands, with their estimated Jaccard."""
     from ..session import cut
 
-    sig = cut(d3(spark, sf).select("doc_id", "sig"))
-    star = dedup.bucket_hubs(dedup.bands(sig, "doc_id"), "doc_id", ["band", "band_hash"])
-    hub = sig.select(F.col("doc_id").alias("hub"), F.col("sig").alias("hs"))
-    return star.join(hub, "hub").join(sig, "doc_id").select(
-        "hub", "doc_id", "shared", dedup.signature_jaccard(F.col("hs"), F.col("sig")).alias("jaccard_est"))
+    return dedup.candidate_pairs(cut(signatures(spark, sf).select("doc_id", "sig")), "doc_id").withColumn("jaccard_est", F.round("jaccard_est", 6))
 
 
 GROUPS = f"""
@@ -145,31 +160,57 @@ def d14s(spark, sf):
     return mentions(spark, sf).where("reply_to is not null").select(F.col("author_id").alias("paper"), F.col("reply_to").alias("seed")).distinct()
 
 
-@query("d15_simhash_distinct")
+@query("d15_simhash_distinct", f"""
+WITH tk AS (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS tok FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS h0, ('0x' || substr(md5(tok), 9, 8))::BIGINT AS h1 FROM tk),
+b AS (SELECT doc_id, i, sum(CASE WHEN (CASE WHEN i < 32 THEN h0 >> i ELSE h1 >> (i - 32) END) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS one FROM h, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
+s AS (SELECT doc_id, string_agg(CASE WHEN one THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM b GROUP BY 1),
+n AS (SELECT x.doc_id FROM s x WHERE EXISTS (SELECT 1 FROM s y WHERE y.doc_id < x.doc_id AND hamming(x.bits, y.bits) <= 3))
+SELECT source, count(*) AS docs, count(DISTINCT bits) AS distinct_contents, count(n.doc_id) AS near_copies FROM documents d JOIN s USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1""")
 def d15(spark, sf):
-    """SimHash buckets as stars, and the approximate distinct content per source."""
-    d = documents(spark, sf).select("doc_id", "source", "text")
-    s = dedup.simhash(d, "doc_id", tx.tokens(F.col("text")))
-    quarters = s.select("doc_id", F.posexplode(F.array("q0", "q1", "q2", "q3")).alias("quarter", "value"))
-    star = dedup.bucket_hubs(quarters, "doc_id", ["quarter", "value"])
-    b = s.select("doc_id", "bits")
-    near = star.join(b, "doc_id").join(b.select(F.col("doc_id").alias("hub"), F.col("bits").alias("hb")), "hub")
-    near = near.where(dedup.hamming(F.col("bits"), F.col("hb")) <= 3)
-    per = d.join(s.select("doc_id", "bits"), "doc_id").groupBy("source").agg(
-        F.count("*").alias("docs"), F.approx_count_distinct("bits").alias("approx_distinct"))
-    dup = d.select("doc_id", "source").join(near.select("doc_id").distinct(), "doc_id").groupBy("source").agg(F.count("*").alias("near_copies"))
-    return per.join(dup, "source", "left").fillna({"near_copies": 0})
+    """Per source: documents, distinct SimHashes, and documents within three bits of an earlier one."""
+    from ..session import cut
+
+    s = cut(dedup.simhash(documents(spark, sf), "doc_id", tx.tokens(F.col("text"))))
+    near = dedup.near_simhashes(s, "doc_id").withColumn("near", F.lit(1))
+    d = documents(spark, sf).select("doc_id", "source").join(s, "doc_id").join(near, "doc_id", "left")
+    return d.groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("bits").alias("distinct_contents"), F.count("near").alias("near_copies"))
 
 
 # ---- vectors ---------------------------------------------------------------------------
-@query("e1_embed_signed")
+def embedding_sql(text: str, sizes: tuple[int, ...], signed: bool, padded: bool) -> str:
+    """Hashed n-grams of a text expression, as the normalised vector in millionths."""
+    ready = f"CASE WHEN {text} = '' THEN '' ELSE ' ' || {text} || ' ' END" if padded else text
+    grams = []
+    for n in sizes:
+        h = "2166136261"
+        for j in range(n):
+            h = f"(xor({h}, c[i + {j}]) * 16777619 % 4294967296)"
+        grams.append(f"SELECT doc_id, {h} AS h FROM (SELECT doc_id, c, unnest(range(1, len(c) - {n} + 2)) AS i FROM c)")
+    sign = "CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END" if signed else "1"
+    return f"""
+WITH t AS (SELECT doc_id, {text} AS x FROM documents),
+c AS (SELECT doc_id, list_transform(string_split(x, ''), lambda z: CAST(unicode(z) AS BIGINT)) AS c FROM (SELECT doc_id, {ready.replace(text, 'x')} AS x FROM t) WHERE x <> ''),
+g AS ({' UNION ALL '.join(grams)}),
+w AS (SELECT doc_id, h % 384 AS pos, sum({sign}) AS w FROM g GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1),
+v AS (SELECT doc_id, pos, w / n AS x FROM w JOIN n USING (doc_id) WHERE n > 0)
+SELECT doc_id, array_to_string(list(CAST(round(coalesce(x, 0) * 1000000) AS BIGINT) ORDER BY p.pos), ',') AS embedding
+FROM (SELECT doc_id, pos FROM documents, (SELECT unnest(range(384)) AS pos)) p LEFT JOIN v USING (doc_id, pos) GROUP BY doc_id"""
+
+
+def _millionths(col):
+    return F.array_join(F.transform(col, lambda x: F.round(x * 1000000).cast("bigint")), ",")
+
+
+@query("e1_embed_signed", embedding_sql(f"trim(regexp_replace(regexp_replace(lower(text), 'https?://{tx.NON_SPACE}+', ' ', 'g'), '{tx.SPACE}+', ' ', 'g'))", (3, 4), True, False))
 def e1(spark, sf):
-    return documents(spark, sf).select("doc_id", vectors.embed_text(F.col("text")).alias("embedding"))
+    return documents(spark, sf).select("doc_id", _millionths(vectors.embed_text(F.col("text"), double=True)).alias("embedding"))
 
 
-@query("e2_embed_padded")
+@query("e2_embed_padded", embedding_sql(normalise_sql("text"), (3,), False, True))
 def e2(spark, sf):
-    return documents(spark, sf).select("doc_id", vectors.embed_text(F.col("text"), "padded").alias("embedding"))
+    return documents(spark, sf).select("doc_id", _millionths(vectors.embed_text(F.col("text"), "padded", True)).alias("embedding"))
 
 
 @query("e3_cosine_to_centroid", """
