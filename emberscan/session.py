@@ -12,6 +12,8 @@ CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of long texts reach Python in batches of bounded bytes, not of 10,000 rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
     # The score is a long chain of named columns. Inferring constraints through
