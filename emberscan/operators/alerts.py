@@ -59,17 +59,29 @@ def fire(hit_rows: DataFrame) -> DataFrame:
 def limit_fatigue(fired: DataFrame, per_day: dict[str, int], groups: DataFrame, quiet_seconds: int = 7200) -> DataFrame:
     """Keep what a reader should get: one alert per group and quiet span, few per day.
 
-    ``groups``: (trend_id, group_id) of similar trends. Within a group, user and
-    quiet span only the first alert is sent, with the number it stands for, unless
-    it reports a phase change. Then the daily limit per user and severity applies.
+    ``groups``: (trend_id, group_id) of similar trends. Within a user's group an
+    alert is sent if none was sent in the ``quiet_seconds`` before it, or if it
+    reports a phase change; ``stands_for`` counts it and those held back until
+    the next one. Then the daily limit per user and severity applies.
     """
-    slot = F.floor(F.unix_micros(F.col("fired_at").cast("timestamp")) / F.lit(quiet_seconds * 1_000_000))
-    keyed = fired.join(groups, "trend_id", "left").withColumns({"group_id": F.coalesce("group_id", "trend_id"), "slot": slot})
-    first = Window.partitionBy("user_id", "group_id", "slot").orderBy("fired_at", "rule_id", "trend_id")
-    span = Window.partitionBy("user_id", "group_id", "slot")
-    one = keyed.select("*", F.row_number().over(first).alias("rn"), F.count("*").over(span).alias("stands_for")).where((F.col("rn") == 1) | F.col("is_phase_change"))
-    day = F.to_date("fired_at")
-    w = Window.partitionBy("user_id", "severity", day).orderBy("fired_at", "rule_id", "trend_id")
+    quiet = quiet_seconds * 1_000_000
+    keyed = fired.join(groups, "trend_id", "left").withColumn("group_id", F.coalesce("group_id", "trend_id"))
+    us = F.unix_micros(F.col("fired_at").cast("timestamp"))
+    row = F.struct(us.alias("us"), "rule_id", "trend_id", "fired_at", "severity", "is_phase_change")
+    per = keyed.groupBy("user_id", "group_id").agg(F.array_sort(F.collect_list(row)).alias("a"))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<boolean>").alias("sent"))
+
+    def step(acc, x):
+        go = x["is_phase_change"] | acc["last"].isNull() | (x["us"] - acc["last"] >= quiet)
+        return F.struct(F.when(go, x["us"]).otherwise(acc["last"]).alias("last"), F.concat(acc["sent"], F.array(go)).alias("sent"))
+
+    sent = F.aggregate("a", start, step, lambda acc: acc["sent"])
+    flat = per.select("user_id", "group_id", F.posexplode(F.arrays_zip("a", sent.alias("sent"))).alias("pos", "z")).select(
+        "user_id", "group_id", "pos", F.col("z.sent").alias("sent"), "z.a.*")
+    order = Window.partitionBy("user_id", "group_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = flat.withColumn("span", F.sum(F.col("sent").cast("int")).over(order))
+    one = numbered.withColumn("stands_for", F.count("*").over(Window.partitionBy("user_id", "group_id", "span"))).where("sent").drop("sent", "span", "pos", "us")
+    w = Window.partitionBy("user_id", "severity", F.to_date("fired_at")).orderBy("fired_at", "rule_id", "trend_id")
     limits = F.create_map(*[F.lit(v) for kv in per_day.items() for v in kv])
     out = one.withColumn("nth", F.row_number().over(w))
     return out.where(F.col("nth") <= F.coalesce(F.element_at(limits, F.col("severity")), F.lit(2_147_483_647)))

@@ -47,19 +47,32 @@ def roots(nodes: DataFrame) -> DataFrame:
 
 # ---- exact near duplicates -------------------------------------------------------
 def _prefix_postings(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, id, n) for the rare head of every token set.
+    """(token, id, n, pos) for the rare head of every token set.
 
     Two sets at or above the threshold share a token of their first
     ``n - ceil(threshold * n) + 1`` tokens, whatever the common order; rarest
-    first keeps the lists short.
+    first keeps the lists short. Frequencies are written before the join, so
+    both of its sides are plain tables and Spark can split a common token.
     """
     tok = sets.select("id", "n", F.explode("toks").alias("tok"))
-    freq = tok.groupBy("tok").agg(F.count("*").alias("df"))
+    freq = cut(tok.groupBy("tok").agg(F.count("*").alias("df")))
     per = tok.join(freq, "tok").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("x"))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    head = per.select("id", "n", F.explode(F.slice("x", 1, keep.cast("int"))).alias("e"))
+    head = per.select("id", "n", F.posexplode(F.slice("x", 1, keep.cast("int"))).alias("pos", "e"))
     # A token of one set only counts for the head's length but can match nothing.
-    return head.where("e.df > 1").select(F.col("e.tok").alias("tok"), "id", "n")
+    return head.where("e.df > 1").select(F.col("e.tok").alias("tok"), "id", "n", "pos")
+
+
+def _may_match(threshold: float) -> Column:
+    """Length and position bound for a pair (n, pos) and (m, mpos) that meets in a token.
+
+    At the first token they share nothing before it counts, so what is left of
+    the shorter rest must reach the overlap that the threshold asks for. A pair
+    that passes at none of its shared tokens is below the threshold.
+    """
+    n, m = F.col("n"), F.col("m")
+    most = F.least(n - F.col("pos"), m - F.col("mpos"))
+    return (F.least(n, m) >= F.lit(threshold) * F.greatest(n, m) - F.lit(1e-9)) & (most >= F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -89,9 +102,9 @@ def near_duplicate_groups(sets: DataFrame, threshold: float = params.JACCARD_MIN
     fold = cut(solid.join(reps, "key").select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("toks")).alias("toks")))
     uniq = fold.where("id = rep").select("id", "n", "toks")
     posts = cut(_prefix_postings(uniq, threshold))
-    close = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - F.lit(1e-9)
-    hub = posts.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    star = posts.join(hub, "tok").select(F.col("h.id").alias("src"), F.col("id").alias("dst"), "n", F.col("h.n").alias("m"))
+    close = _may_match(threshold)
+    hub = cut(posts.groupBy("tok").agg(F.min(F.struct("id", "n", "pos")).alias("h"), F.count("*").alias("size")).where("size > 1"))
+    star = posts.join(hub, "tok").select(F.col("h.id").alias("src"), F.col("id").alias("dst"), "n", "pos", F.col("h.n").alias("m"), F.col("h.pos").alias("mpos"))
     star = star.where((F.col("src") != F.col("dst")) & close).select("src", "dst").distinct()
     edges = cut(_verified(star, uniq, threshold))
     nodes = uniq.select("id")
@@ -100,12 +113,16 @@ def near_duplicate_groups(sets: DataFrame, threshold: float = params.JACCARD_MIN
     sizes = tagged.groupBy("tok", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("tok").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
     inside = tagged.join(mixed, "tok")
-    outside = inside.where("component <> main").select("tok", F.col("id").alias("o"), F.col("n").alias("m"), F.col("component").alias("oc"))
-    rest = inside.select("tok", "id", "n", "component")
+    outside = inside.where("component <> main").select("tok", F.col("id").alias("o"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("component").alias("oc"))
+    rest = inside.select("tok", "id", "n", "pos", "component")
     cross = outside.join(rest, "tok").where((F.col("component") != F.col("oc")) & close)
     cross = cross.select(F.least("o", "id").alias("src"), F.greatest("o", "id").alias("dst")).distinct()
     more = _verified(cross, uniq, threshold)
-    label = components(nodes, edges.union(more))
+    # The second run sees one node for each component of the first.
+    ends = more.join(first.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(
+        first.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    merged = components(first.select(F.col("component").alias("id")).distinct(), ends)
+    label = first.select("id", F.col("component").alias("c")).join(merged.select(F.col("id").alias("c"), "component"), "c").select("id", "component")
     joined = fold.select("id", "rep").join(label.select(F.col("id").alias("rep"), "component"), "rep").select("id", "component")
     return joined.unionByName(base.where("n = 0").select("id", F.col("id").alias("component")))
 

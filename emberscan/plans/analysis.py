@@ -255,9 +255,14 @@ def t7(spark, sf):
 
 
 @query("t11_alert_fatigue", sql(HITS + f"""
-, k AS (SELECT *, CASE WHEN trend_id IN ('t1', 't2', 't3') THEN 'g1' ELSE trend_id END AS group_id, CAST(floor(epoch_us(fired_at) / 1.728e11) AS BIGINT) AS slot, rule_id = 'r06' AS pc FROM fire),
-o AS (SELECT *, row_number() OVER (PARTITION BY user_id, group_id, slot ORDER BY fired_at, rule_id, trend_id) AS rn, count(*) OVER (PARTITION BY user_id, group_id, slot) AS stands_for FROM k),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id, severity, CAST(fired_at AS DATE) ORDER BY fired_at, rule_id, trend_id) AS nth FROM o WHERE rn = 1 OR pc)
+, k AS (SELECT *, CASE WHEN trend_id IN ('t1', 't2', 't3') THEN 'g1' ELSE trend_id END AS group_id, rule_id = 'r06' AS pc FROM fire),
+q AS (SELECT *, row_number() OVER (PARTITION BY user_id, group_id ORDER BY fired_at, rule_id, trend_id) AS pos FROM k),
+z AS (SELECT *, true AS sent, fired_at AS last FROM q WHERE pos = 1
+  UNION ALL SELECT q.*, q.pc OR q.fired_at - z.last >= INTERVAL 172800 SECOND, CASE WHEN q.pc OR q.fired_at - z.last >= INTERVAL 172800 SECOND THEN q.fired_at ELSE z.last END
+  FROM z JOIN q ON q.user_id = z.user_id AND q.group_id = z.group_id AND q.pos = z.pos + 1),
+sp AS (SELECT *, sum(CASE WHEN sent THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, group_id ORDER BY pos) AS span FROM z),
+o AS (SELECT *, count(*) OVER (PARTITION BY user_id, group_id, span) AS stands_for FROM sp QUALIFY sent),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, severity, CAST(fired_at AS DATE) ORDER BY fired_at, rule_id, trend_id) AS nth FROM o)
 SELECT user_id, rule_id, trend_id, severity, strftime(fired_at, {FMT}) AS fired_at, stands_for, CAST(nth AS INTEGER) AS nth FROM n WHERE nth <= CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'info' THEN 3 ELSE 100000 END"""
 ).replace("WITH p AS", "WITH RECURSIVE p AS"))
 def t11(spark, sf):
@@ -361,8 +366,9 @@ un AS (SELECT trend_id, least(src, dst) AS a, greatest(src, dst) AS b, count(*)
 au2 AS (SELECT trend_id, count(DISTINCT author_id) AS n FROM m GROUP BY 1),
 nw AS (SELECT au2.trend_id, coalesce(2 * count(a) / nullif(any_value(n) * (any_value(n) - 1), 0), 0) AS network_density, coalesce(sum(CASE WHEN ways = 2 THEN 2 ELSE 0 END) / nullif(sum(ways), 0), 0) AS mutual_ratio
   FROM au2 LEFT JOIN un USING (trend_id) GROUP BY 1),
-ft AS (SELECT * EXCLUDE (j), j / (n * (n - 1) / 2.0) AS hashtag_jaccard, 1 - burst_entropy AS hour_uniformity, 0.5 AS community_share
-  FROM bs JOIN dp USING (trend_id) JOIN hr USING (trend_id) JOIN lg USING (trend_id) JOIN sy USING (trend_id) JOIN hj USING (trend_id) JOIN nw USING (trend_id))"""
+cs AS (SELECT trend_id, max(c) / sum(c) AS community_share FROM (SELECT trend_id, community, count(*) AS c FROM m GROUP BY ALL) GROUP BY 1),
+ft AS (SELECT * EXCLUDE (j), j / (n * (n - 1) / 2.0) AS hashtag_jaccard, 1 - burst_entropy AS hour_uniformity
+  FROM bs JOIN dp USING (trend_id) JOIN hr USING (trend_id) JOIN lg USING (trend_id) JOIN sy USING (trend_id) JOIN hj USING (trend_id) JOIN nw USING (trend_id) JOIN cs USING (trend_id))"""
 
 
 def features(spark, sf):
@@ -376,12 +382,13 @@ def features(spark, sf):
     parent = m.select(F.col("external_id").alias("reply_to"), F.col("author_id").alias("dst"))
     replies = m.where("reply_to is not null").join(parent, "reply_to").select("trend_id", F.col("author_id").alias("src"), "dst")
     authors = m.groupBy("trend_id").agg(F.count_distinct("author_id").alias("n"))
+    share = m.groupBy("trend_id", "community").agg(F.count("*").alias("c")).groupBy("trend_id").agg((F.max("c") / F.sum("c")).alias("community_share"))
     return (trust.post_features(p, 1200, ("e.test",)).join(trust.hashtag_jaccard(p.select("trend_id", "tags")), "trend_id")
-            .join(trust.network_features(replies, authors), "trend_id").withColumn("community_share", F.lit(0.5)))
+            .join(trust.network_features(replies, authors), "trend_id").join(share, "trend_id"))
 
 
 FEATS = ["new_account_ratio", "shortener_ratio", "sentiment_std", "media_dup_ratio", "duplicate_ratio", "burst_entropy", "hour_uniformity", "language_skew", "sync_ratio",
-         "hashtag_jaccard", "network_density", "mutual_ratio"]
+         "hashtag_jaccard", "network_density", "mutual_ratio", "community_share"]
 
 
 @query("g23_trash_features", sql(FEATURES_SQL + "SELECT trend_id, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in FEATS) + " FROM ft"))
