@@ -65,17 +65,21 @@ def name():
     return F.concat(F.lit("user"), U().cast("string"))
 
 
-@query("s1_reddit_listing", out_sql(
-    "external_id % 13 <> 0 AND external_id % 17 <> 0 AND external_id % 19 <> 0", source="reddit", external_id="'t3_' || external_id", author_id="'user' || author_id",
-    author_handle="'u/user' || author_id", text="'Title ' || external_id || CASE WHEN external_id % 2 = 0 THEN chr(10) || chr(10) || text ELSE '' END", url="'https://www.reddit.com/r/x/' || external_id",
-    has_media="external_id % 3 = 0"))
-def s1(spark, sf):
+def reddit_pages(spark, sf):
     item = F.struct(F.struct(
         F.concat(F.lit("t3_"), I().cast("string")).alias("id"), F.when(I() % 13 == 0, "[deleted]").otherwise(name()).alias("author"), F.concat(F.lit("Title "), I().cast("string")).alias("title"),
         F.when(I() % 2 == 0, T()).otherwise("").alias("selftext"), F.unix_timestamp(F.col("published_at").cast("timestamp")).alias("created_utc"), F.col("url"),
         F.concat(F.lit("/r/x/"), I().cast("string")).alias("permalink"), (I() % 3 == 0).alias("is_video"), F.when(I() % 17 == 0, "moderator").alias("removed_by_category"),
         F.when(I() % 19 == 0, 1.0).alias("banned_at_utc")).alias("data"))
-    return out(pay.reddit_listing(pages_of(posts(spark, sf), item, lambda a: F.struct(F.struct(a.alias("children")).alias("data")))))
+    return pages_of(posts(spark, sf), item, lambda a: F.struct(F.struct(a.alias("children")).alias("data")))
+
+
+@query("s1_reddit_listing", out_sql(
+    "external_id % 13 <> 0 AND external_id % 17 <> 0 AND external_id % 19 <> 0", source="reddit", external_id="'t3_' || external_id", author_id="'user' || author_id",
+    author_handle="'u/user' || author_id", text="'Title ' || external_id || CASE WHEN external_id % 2 = 0 THEN chr(10) || chr(10) || text ELSE '' END", url="'https://www.reddit.com/r/x/' || external_id",
+    has_media="external_id % 3 = 0"))
+def s1(spark, sf):
+    return out(pay.reddit_listing(reddit_pages(spark, sf)))
 
 
 def atom_entry():

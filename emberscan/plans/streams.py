@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.times import epoch_micros, fmt
 from ..operators import alerts
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..streaming import clustering, events as ev, ingest, stateful
+from . import intake
 from .analysis import HITS
 from .derived import TICKS, rules, ticks
 from .registry import query
@@ -26,16 +27,26 @@ def stream(spark, sf):
     return as_mentions(e, docs).withColumn("published_at", F.col("published_at").cast("timestamp"))
 
 
-def landed(df, parts, order):
-    """Rows written as ``parts`` files in the order of ``order``, one file per trigger."""
+def in_landings(df, parts, order, run):
+    """Rows landed in ``parts`` steps in the order of ``order``; after each, ``run(stream)`` works off what is new.
+
+    The input is computed once; a landing has as many files as tasks wrote it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/l-{uuid.uuid4().hex}"
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    rows = cut(df)
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
     step = (hi - lo + 1) / parts
     for i in range(parts):
-        cond = F.floor((F.col(order) - lo) / F.lit(float(step))) == i
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
-    return ingest.landed_parquet(spark, path, df.schema, files_per_trigger=1)
+        rows.where(F.floor((F.col(order) - lo) / F.lit(float(step))) == i).write.mode("append").parquet(path)
+        out = run(ingest.landed_parquet(spark, path, rows.schema))
+    return out
+
+
+def to_table(spark, transform):
+    """``run`` of a transform that appends to one table and keeps its state between landings."""
+    base = f"{shared_dir(spark)}/s-{uuid.uuid4().hex}"
+    return lambda s: ingest.run_to_table(transform(s), path=base)
 
 
 @query("t1_continuous_ingest", sql("SELECT external_id, source, trend_id, doc_id, community, url, reach FROM m"))
@@ -43,6 +54,26 @@ def t1(spark, sf):
     return ingest.run_to_table(stream(spark, sf).select("external_id", "source", "trend_id", "doc_id", "community", "url", "reach"))
 
 
+@query("t1_stream_payloads", sql("""
+SELECT 'reddit' AS source, 't3_' || external_id AS external_id, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM m, p
+WHERE external_id % 13 <> 0 AND external_id % 17 <> 0 AND external_id % 19 <> 0 AND published_at >= now - INTERVAL 7 DAY"""))
+def t1p(spark, sf):
+    """Payload files in three landings, each with pages of the one before: parsed, gated, and repeats within the TTL dropped."""
+    from ..sources import payloads as pay
+
+    pages = cut(intake.reddit_pages(spark, sf))
+    path = f"{shared_dir(spark)}/p-{uuid.uuid4().hex}"
+    for i in range(3):
+        again = (F.col("page") % 3 == (i + 2) % 3) & (F.col("page") % 2 == 0)
+        pages.where((F.col("page") % 3 == i) | again).select("payload").write.mode("append").text(path)
+    files = len(pages.sparkSession.read.text(path).inputFiles())
+    s = pay.reddit_listing(ingest.landed_payloads(spark, path, -(-files // 3), per_line=True))
+    s = s.withColumn("published_at", F.col("published_at").cast("timestamp"))
+    kept = ingest.gate(s, now_of(spark, sf)).where("verdict = 'accepted'")
+    out = ingest.run_to_table(ingest.dedup(kept, ["source", "external_id"]).select("source", "external_id", "published_at"))
+    return out.select("source", "external_id", fmt(F.col("published_at")).alias("published_at"))
+
+
 @query("t2_stream_gate", sql("""
 SELECT CASE WHEN external_id % 7 = 0 THEN 'future' WHEN published_at < now - INTERVAL 7 DAY THEN 'too_old' ELSE 'accepted' END AS verdict, count(*) AS n FROM m, p GROUP BY 1"""))
 def t2(spark, sf):
@@ -84,7 +115,7 @@ def t5(spark, sf):
 def t6(spark, sf):
     us = F.unix_micros(F.col("at").cast("timestamp")).alias("at_us")
     h = alerts.hits(rules(spark), ticks(spark, sf)).select("rule_id", "trend_id", "cooldown_sec", us)
-    return ingest.run_to_table(stateful.fire_alerts(landed(h, 3, "at_us")))
+    return in_landings(h, 3, "at_us", to_table(spark, stateful.fire_alerts))
 
 
 @query("t7_stream_changes", sql(TICKS + """
@@ -93,7 +124,7 @@ SELECT trend_id, epoch_us(tick_at) AS at_us, unnest(list_filter(['trend.upserted
   CASE WHEN velocity > 1.2 * pv THEN 'trend.velocity_spike' END], lambda x: x IS NOT NULL)) AS type FROM h"""))
 def t7(spark, sf):
     t = ticks(spark, sf).select("trend_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "phase", "velocity")
-    return ingest.run_to_table(stateful.change_events(landed(t, 3, "at_us"), 1.2))
+    return in_landings(t, 3, "at_us", to_table(spark, lambda s: stateful.change_events(s, 1.2)))
 
 
 @query("t8_stream_live_metrics", sql(f"""
@@ -112,9 +143,12 @@ def t9(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     base = f"{shared_dir(spark)}/k-{uuid.uuid4().hex}"
     store = clustering.LeaderStore(spark, f"{base}/store")
-    q = landed(d, 3, "id").repartition(spark.sparkContext.defaultParallelism).writeStream.foreachBatch(store.assign).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return store.assignments()
+
+    def run(s):
+        s.writeStream.foreachBatch(store.assign).option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start().awaitTermination()
+        return store.assignments()
+
+    return in_landings(d, 3, "id", run)
 
 
 @query("t10_stream_event_log", sql("""

@@ -24,9 +24,9 @@ def landed_parquet(spark: SparkSession, path: str, schema, glob: str | None = No
     return r.parquet(path)
 
 
-def landed_payloads(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Text files with one payload per file; feed them to the payload transforms."""
-    r = spark.readStream.option("wholetext", "true")
+def landed_payloads(spark: SparkSession, path: str, files_per_trigger: int | None = None, per_line: bool = False) -> DataFrame:
+    """Text files with one payload per file, or per line; feed them to the payload transforms."""
+    r = spark.readStream.option("wholetext", str(not per_line).lower())
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.text(path).withColumnRenamed("value", "payload")
