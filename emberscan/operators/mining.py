@@ -47,6 +47,11 @@ def harvest_handles(posts: DataFrame, now: datetime, ttl_seconds: float = 7200.0
     return kept.where(within(F.col("last_seen"), now, ttl_seconds)).orderBy(F.desc("last_seen"), "handle").limit(pool)
 
 
+def top_handles(harvested: DataFrame, k: int = 3) -> DataFrame:
+    """The most mentioned of the harvested handles."""
+    return harvested.orderBy(F.desc("mentions"), "handle").limit(k)
+
+
 def active_keywords(top_trends: DataFrame) -> DataFrame:
     """Title words and first entities of the given trends, one row per keyword."""
     words = F.concat(ent.title_words(F.col("title")), F.transform(F.slice("entities", 1, 3), lambda e: e["value"]))

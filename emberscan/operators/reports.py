@@ -109,6 +109,33 @@ def period_report(mentions: DataFrame, now: datetime, days: int, periods: int =
     return a.where(F.col("periods_back") < periods)
 
 
+def period_sources(mentions: DataFrame, now: datetime, days: int) -> DataFrame:
+    """Stories per period by the source of their first post, with the share of the period in per cent."""
+    key = F.struct(micros(F.col("published_at")).alias("us"), "external_id", "source")
+    first = mentions.groupBy("trend_id", "community").agg(F.min(key).alias("f"))
+    per = F.floor((F.lit(_us(now)) - F.col("f.us")) / F.lit(days * 86_400_000_000)).alias("periods_back")
+    n = first.groupBy(per, F.col("f.source").alias("source")).agg(F.count("*").alias("detected"))
+    whole = n.groupBy("periods_back").agg(F.sum("detected").alias("all"))
+    return n.join(whole, "periods_back").select("periods_back", "source", "detected", (100.0 * F.col("detected") / F.col("all")).alias("pct"))
+
+
+def period_top_delta(mentions: DataFrame, now: datetime, days: int) -> DataFrame:
+    """Trend that grew most in a period against the period before it, in per cent of the mentions there."""
+    per = F.floor((F.lit(_us(now)) - micros(F.col("published_at"))) / F.lit(days * 86_400_000_000)).alias("periods_back")
+    n = mentions.groupBy("trend_id", per).agg(F.count("*").alias("mentions"))
+    before = n.select("trend_id", (F.col("periods_back") - 1).alias("periods_back"), F.col("mentions").alias("previous"))
+    delta = 100.0 * (F.col("mentions") - F.col("previous")) / F.col("previous")
+    best = n.join(before, ["trend_id", "periods_back"]).withColumn("delta_pct", F.round(delta, 6)).groupBy("periods_back").agg(
+        F.min(F.struct((-F.col("delta_pct")).alias("d"), "trend_id")).alias("b"))
+    return best.select("periods_back", "b.trend_id", (-F.col("b.d")).alias("delta_pct"))
+
+
+def top_by_period(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of every period with their rank; each task keeps ``k`` before the shuffle."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def detections_by_hour(mentions: DataFrame) -> DataFrame:
     """Stories by hour of day of their first post, all 24 hours."""
     first = mentions.groupBy("trend_id", "community").agg(F.min("published_at").alias("f"))
@@ -127,6 +154,15 @@ def dashboard(trends: DataFrame) -> DataFrame:
                       F.count_if((F.col("score") >= 20) & (F.col("score") < 50)).alias("weak"), F.count("*").alias("trends"))
 
 
+def alert_counters(rules: DataFrame, fired: DataFrame, acknowledged: DataFrame) -> DataFrame:
+    """Active rules, alerts in all, and alerts nobody has acknowledged.
+
+    ``acknowledged``: (rule_id, trend_id, fire_no).
+    """
+    open_ = fired.join(acknowledged, ["rule_id", "trend_id", "fire_no"], "left_anti").agg(F.count("*").alias("unack"))
+    return rules.agg(F.count_if("armed").alias("active")).crossJoin(fired.agg(F.count("*").alias("total"))).crossJoin(open_)  # one row each
+
+
 def saved_counts(saved: DataFrame) -> DataFrame:
     """Saved entries by folder with the total (rollup), pinned and without folder."""
     r = saved.rollup("folder").agg(
@@ -145,23 +181,35 @@ def amplifiers(mentions: DataFrame, k: int = 20) -> DataFrame:
 
 
 def evaluate(predicted: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
-    """Precision, recall and false-positive rate of a flag against labels."""
+    """Precision, recall and false-positive rate of a flag against labels, and the mean lead of what was rightly flagged.
+
+    ``predicted``: (key, predicted, lead_hours).
+    """
     j = predicted.join(labels, key)
     p, y = F.col("predicted"), F.col("actual")
     tp, fp, fn, tn = (F.count_if(p & y), F.count_if(p & ~y), F.count_if(~p & y), F.count_if(~p & ~y))
     return j.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), ratio(tp, tp + fp).alias("precision"),
-                 ratio(tp, tp + fn).alias("recall"), ratio(fp, fp + tn).alias("false_positive_rate"))
+                 ratio(tp, tp + fn).alias("recall"), ratio(fp, fp + tn).alias("false_positive_rate"),
+                 F.avg(F.when(p & y, F.col("lead_hours"))).alias("mean_lead_hours"))
+
+
+# Heading of the exported table.
+MARKDOWN_HEAD = ["| # | Tendencia | Fuente | Menciones/h | Delta | Confianza |", "|---|-----------|--------|-------------|-------|-----------|"]
 
 
 def markdown_rows(ranked: DataFrame) -> DataFrame:
-    """One Markdown table row per ranked trend."""
+    """A Markdown table: its two heading lines at positions -1 and 0, then one line per ranked trend."""
     d = F.col("delta")
-    return ranked.select("position", F.format_string(
+    rows = ranked.select("position", F.format_string(
         "| %d | %s | %s | %d | %s%d%% | %d/100 |", F.col("position"), F.col("title"), F.col("source"), F.col("mentions"),
         F.when(d > 0, "+").otherwise(""), d, F.col("confidence")).alias("line"))
+    head = ranked.sparkSession.createDataFrame([(i - 1, line) for i, line in enumerate(MARKDOWN_HEAD)], "position int, line string")
+    return head.unionByName(rows)
 
 
-MARKDOWN_HEAD = ["| # | Tendencia | Fuente | Menciones/h | Delta | Confianza |", "|---|-----------|--------|-------------|-------|-----------|"]
+def json_rows(ranked: DataFrame) -> DataFrame:
+    """The same report as one JSON object per trend."""
+    return ranked.select("position", F.to_json(F.struct("position", "title", "source", "mentions", "delta", "confidence")).alias("line"))
 
 
 def conversations(mentions: DataFrame, roots: DataFrame, limit: int = 20) -> DataFrame:
@@ -173,12 +221,17 @@ def conversations(mentions: DataFrame, roots: DataFrame, limit: int = 20) -> Dat
 
 
 def history_feed(spread: DataFrame, changes: DataFrame, ticks: DataFrame, velocity_over: float) -> DataFrame:
-    """Detection, cross-source, threshold and phase events of a trend in time order."""
-    det = spread.select("trend_id", F.col("first_seen").alias("at"), F.when(F.col("ord") == 1, "detection").otherwise("cross_source").alias("tag"), F.col("source").alias("detail"))
-    first = ticks.where(F.col("velocity") > velocity_over).groupBy("trend_id").agg(F.min("at").alias("at")).select(
-        "trend_id", "at", F.lit("threshold").alias("tag"), F.lit(str(velocity_over)).alias("detail"))
+    """Detection, cross-source, threshold, amplification and phase events of a trend in time order.
+
+    A source that joins after the velocity went over the threshold amplifies; one that joins before it corroborates.
+    """
+    first = ticks.where(F.col("velocity") > velocity_over).groupBy("trend_id").agg(F.min("at").alias("over"))
+    later = F.when(F.col("first_seen") > F.col("over"), "amplification").otherwise("cross_source")
+    det = spread.join(first, "trend_id", "left").select(
+        "trend_id", F.col("first_seen").alias("at"), F.when(F.col("ord") == 1, "detection").otherwise(later).alias("tag"), F.col("source").alias("detail"))
+    over = first.select("trend_id", F.col("over").alias("at"), F.lit("threshold").alias("tag"), F.lit(str(velocity_over)).alias("detail"))
     ph = changes.select("trend_id", F.col("bucket_time").alias("at"), F.lit("phase").alias("tag"), F.concat_ws(">", "from_phase", "to_phase").alias("detail"))
-    return det.unionByName(first).unionByName(ph)
+    return det.unionByName(over).unionByName(ph)
 
 
 def vitals(mentions: DataFrame, step_seconds: int, silent_seconds: int) -> DataFrame:

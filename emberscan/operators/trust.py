@@ -164,10 +164,6 @@ def transitions(history: DataFrame) -> DataFrame:
                     F.coalesce((a < -0.3 * s) & (F.col("prev_accel") < -0.3 * s), F.lit(False)).alias("to_decayed"))
 
 
-# Confidence of a signal source, used as likelihood ratios.
-SOURCE_CONFIDENCE = {"x": 0.5, "gdelt": 0.85, "reddit": 0.75, "hn": 0.8, "trends": 0.6}
-
-
 def pre_burst(posts: DataFrame, now: datetime, scale: float = 1.0, prior: float = 0.2, likelihood: float = 4.0) -> DataFrame:
     """Weak signals per trend and their combined evidence.
 

@@ -13,11 +13,9 @@ SOCIAL = ["x", "reddit", "bluesky"]
 MEDIA = ["rss", "gdelt"]
 TECHNICAL = ["github", "hn"]
 
-# Trust and origin weight of a source, per scoring profile.
+# Trust of a source, per scoring profile.
 TRUST_STRICT = {"hn": 0.9, "gdelt": 0.85, "rss": 0.8, "reddit": 0.7, "github": 0.75, "bluesky": 0.65, "x": 0.55}
 TRUST_RELAXED = {"x": 0.90, "reddit": 0.85, "bluesky": 0.75, "hn": 0.80, "gdelt": 0.70, "rss": 0.65, "github": 0.45}
-ORIGIN_STRICT = {"hn": 0.95, "gdelt": 0.88, "rss": 0.82, "github": 0.78, "reddit": 0.7, "bluesky": 0.6, "x": 0.55}
-ORIGIN_RELAXED = {"x": 0.95, "reddit": 0.90, "bluesky": 0.82, "hn": 0.80, "gdelt": 0.75, "rss": 0.70, "github": 0.40}
 TRUST_DEFAULT = 0.5
 
 # Presentation of a source.
@@ -94,7 +92,6 @@ BANDS = 32
 ROWS = 4
 JACCARD_MIN = 0.85
 COSINE_LIVE = 0.55
-COSINE_STRICT = 0.78
 SEMANTIC_DUP_COSINE = 0.92
 EMBED_DIM = 384
 

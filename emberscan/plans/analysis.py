@@ -77,6 +77,22 @@ def a25(spark, sf):
         {c: F.round(c, 6) for c in ("accuracy", "lead_hours", "change_pct")})
 
 
+@query("a25_sources_by_period", sql("""
+, f AS (SELECT trend_id, community, min((epoch_us(published_at), external_id, source)) AS f FROM m GROUP BY ALL),
+s AS (SELECT CAST(floor((epoch_us(now) - f[1]) / 6.048e11) AS BIGINT) AS periods_back, f[3] AS source, count(*) AS detected FROM f, p GROUP BY ALL)
+SELECT *, round(100.0 * detected / sum(detected) OVER (PARTITION BY periods_back), 6) AS pct FROM s"""))
+def a25s(spark, sf):
+    return reports.period_sources(mentions(spark, sf), now_of(spark, sf), 7).withColumn("pct", F.round("pct", 6))
+
+
+@query("a25_top_delta", sql("""
+, n AS (SELECT trend_id, CAST(floor((epoch_us(now) - epoch_us(published_at)) / 6.048e11) AS BIGINT) AS periods_back, count(*) AS c FROM m, p GROUP BY ALL),
+d AS (SELECT n.trend_id, n.periods_back, round(100.0 * (n.c - b.c) / b.c, 6) AS delta_pct FROM n JOIN n b ON b.trend_id = n.trend_id AND b.periods_back = n.periods_back + 1)
+SELECT periods_back, first(trend_id ORDER BY delta_pct DESC, trend_id) AS trend_id, max(delta_pct) AS delta_pct FROM d GROUP BY 1"""))
+def a25d(spark, sf):
+    return reports.period_top_delta(mentions(spark, sf), now_of(spark, sf), 7)
+
+
 @query("a25_detections_by_hour", sql("""
 , f AS (SELECT min(published_at) AS f FROM m GROUP BY trend_id, community)
 SELECT CAST(h AS INTEGER) AS hour, count(f) AS detected FROM range(24) r(h) LEFT JOIN f ON hour(f) = h GROUP BY 1"""))
@@ -169,6 +185,25 @@ def a36(spark, sf):
     return j.orderBy(F.desc(F.col("a") - F.col("f")), "trend_id", "community").limit(10).select("trend_id", "community", F.round((F.col("a") - F.col("f")) / 1e6, 3).alias("lead_seconds"))
 
 
+@query("a36_lead_times_by_period", sql("""
+, l AS (SELECT trend_id, community, min(epoch_us(published_at)) AS f FROM m GROUP BY ALL),
+md AS (SELECT trend_id, max(epoch_us(published_at)) AS a FROM m WHERE source = 'rss' GROUP BY 1),
+r AS (SELECT CAST(floor((epoch_us(now) - f) / 6.048e11) AS BIGINT) AS periods_back, trend_id, community, a - f AS d FROM l JOIN md USING (trend_id), p WHERE a > f)
+SELECT periods_back, trend_id, community, round(d / 1e6, 3) AS lead_seconds, CAST(row_number() OVER (PARTITION BY periods_back ORDER BY d DESC, trend_id, community) AS INTEGER) AS rank
+FROM r QUALIFY rank <= 10"""))
+def a36p(spark, sf):
+    """Ten longest leads over the last media post in each week."""
+    from ..functions.times import epoch_micros
+
+    m, now = mentions(spark, sf), epoch_micros(now_of(spark, sf))
+    f = m.groupBy("trend_id", "community").agg(F.min(micros(F.col("published_at"))).alias("f"))
+    md = m.where("source = 'rss'").groupBy("trend_id").agg(F.max(micros(F.col("published_at"))).alias("a"))
+    j = f.join(md, "trend_id").where("a > f").select(
+        F.floor((F.lit(now) - F.col("f")) / F.lit(604_800_000_000)).alias("periods_back"), "trend_id", "community", (F.col("a") - F.col("f")).alias("d"))
+    return reports.top_by_period(j, "periods_back", [F.desc("d"), F.col("trend_id"), F.col("community")], 10).select(
+        "periods_back", "trend_id", "community", F.round(F.col("d") / 1e6, 3).alias("lead_seconds"), "rank")
+
+
 @query("a37_amplifiers", sql("""
 , a AS (SELECT trend_id, author_id, count(*) AS posts, min(epoch_us(published_at)) AS f FROM m GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY posts DESC, f, author_id) AS rank, min(f) OVER (PARTITION BY trend_id) AS o FROM a)
@@ -178,13 +213,14 @@ def a37(spark, sf):
 
 
 @query("a38_evaluation", """
-, e AS (SELECT n_chars > 2000 AS predicted, toxic = 1 AS actual FROM documents JOIN labels USING (doc_id)),
-c AS (SELECT count(*) FILTER (predicted AND actual) AS tp, count(*) FILTER (predicted AND NOT actual) AS fp, count(*) FILTER (NOT predicted AND actual) AS fn, count(*) FILTER (NOT predicted AND NOT actual) AS tn FROM e)
+, e AS (SELECT n_chars > 2000 AS predicted, toxic = 1 AS actual, doc_id % 48 AS lead FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT count(*) FILTER (predicted AND actual) AS tp, count(*) FILTER (predicted AND NOT actual) AS fp, count(*) FILTER (NOT predicted AND actual) AS fn, count(*) FILTER (NOT predicted AND NOT actual) AS tn,
+  round(avg(lead) FILTER (predicted AND actual), 6) AS mean_lead_hours FROM e)
 SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_positive_rate FROM c""".replace(", e AS", "WITH e AS", 1))
 def a38(spark, sf):
-    d = documents(spark, sf).select(F.col("doc_id").alias("id"), (F.col("n_chars") > 2000).alias("predicted"))
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), (F.col("n_chars") > 2000).alias("predicted"), (F.col("doc_id") % 48).alias("lead_hours"))
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("actual"))
-    return reports.evaluate(d, lab).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "false_positive_rate")})
+    return reports.evaluate(d, lab).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "false_positive_rate", "mean_lead_hours")})
 
 
 @query("a39_backtest", sql(TICKS + """
@@ -196,11 +232,19 @@ def a39(spark, sf):
 
 @query("k4_markdown_export", sql(VIEW + """
 SELECT CAST(row_number() OVER (ORDER BY delta DESC, trend_id) AS INTEGER) AS position, '| ' || row_number() OVER (ORDER BY delta DESC, trend_id) || ' | ' || title || ' | ' || source || ' | ' || mentions || ' | '
-  || CASE WHEN delta > 0 THEN '+' ELSE '' END || delta || '% | ' || confidence || '/100 |' AS line FROM vw QUALIFY position <= 50"""))
+  || CASE WHEN delta > 0 THEN '+' ELSE '' END || delta || '% | ' || confidence || '/100 |' AS line FROM vw QUALIFY position <= 50
+UNION ALL SELECT -1, '| # | Tendencia | Fuente | Menciones/h | Delta | Confianza |' UNION ALL SELECT 0, '|---|-----------|--------|-------------|-------|-----------|'"""))
 def k4(spark, sf):
     return reports.markdown_rows(views.ranked(view(spark, sf), "delta", 50))
 
 
+@query("k4_json_export", sql(VIEW + """
+SELECT CAST(row_number() OVER (ORDER BY delta DESC, trend_id) AS INTEGER) AS position, CAST(json_object('position', row_number() OVER (ORDER BY delta DESC, trend_id), 'title', title, 'source', source,
+  'mentions', mentions, 'delta', delta, 'confidence', confidence) AS VARCHAR) AS line FROM vw QUALIFY position <= 50"""))
+def k4j(spark, sf):
+    return reports.json_rows(views.ranked(view(spark, sf), "delta", 50))
+
+
 @query("t12_vitals", sql(f"""
 , v AS (SELECT {bucket_sql('published_at', 3600)} AS t, count(*) AS analysed, max(published_at) AS l FROM m GROUP BY 1)
 SELECT strftime(t, {FMT}) AS t, analysed, analysed - coalesce(lag(analysed) OVER (ORDER BY t), 0) AS change, round(analysed / 3600.0, 6) AS per_second,
@@ -238,6 +282,14 @@ def t6(spark, sf):
     return fired(spark, sf).withColumn("fired_at", fmt(F.col("fired_at")))
 
 
+@query("a29_alert_counters", sql(HITS + """
+SELECT (SELECT count(*) FROM rules WHERE armed) AS active, count(*) AS total, count(*) FILTER (fire_no % 2 = 1) AS unack FROM fire""").replace("WITH p AS", "WITH RECURSIVE p AS"))
+def a29a(spark, sf):
+    """Every second alert of a rule and trend counts as acknowledged."""
+    f = fired(spark, sf)
+    return reports.alert_counters(rules(spark), f, f.where("fire_no % 2 = 0").select("rule_id", "trend_id", "fire_no"))
+
+
 @query("w16_alert_feed", sql(HITS + f"""
 SELECT rule_id, trend_id, strftime(fired_at, {FMT}) AS fired_at FROM fire, p WHERE fired_at > p.now - INTERVAL 9 DAY ORDER BY fire.fired_at, rule_id, trend_id LIMIT 50""").replace("WITH p AS", "WITH RECURSIVE p AS"))
 def w16(spark, sf):

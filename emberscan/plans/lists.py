@@ -389,7 +389,8 @@ def w14(spark, sf):
 , sp AS (SELECT trend_id, source, min(published_at) AS first_seen FROM m GROUP BY ALL),
 so2 AS (SELECT *, row_number() OVER (PARTITION BY trend_id ORDER BY first_seen, source) AS ord FROM sp),
 h AS (SELECT *, lag(phase) OVER (PARTITION BY trend_id ORDER BY tick_at) AS fp FROM tm)
-SELECT trend_id, strftime(first_seen, {FMT}) AS "at", CASE WHEN ord = 1 THEN 'detection' ELSE 'cross_source' END AS tag, source AS detail FROM so2
+SELECT trend_id, strftime(first_seen, {FMT}) AS "at", CASE WHEN ord = 1 THEN 'detection' WHEN first_seen > ov THEN 'amplification' ELSE 'cross_source' END AS tag, source AS detail
+  FROM so2 LEFT JOIN (SELECT trend_id, min(tick_at) AS ov FROM tm WHERE velocity > 2.5 GROUP BY 1) USING (trend_id)
 UNION ALL SELECT trend_id, strftime(min(tick_at), {FMT}), 'threshold', '2.5' FROM tm WHERE velocity > 2.5 GROUP BY trend_id
 UNION ALL SELECT trend_id, strftime(tick_at, {FMT}), 'phase', fp || '>' || phase FROM h WHERE fp <> phase"""))
 def w15(spark, sf):

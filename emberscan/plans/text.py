@@ -199,6 +199,14 @@ def n7(spark, sf):
     return mining.harvest_handles(posts(spark, sf), now_of(spark, sf), 192 * 3600.0).withColumn("last_seen", fmt(F.col("last_seen")))
 
 
+@query("n7_top_handles", sql(posts_sql() + """
+, h AS (SELECT published_at, lower(unnest(regexp_extract_all(text, '@([A-Za-z0-9_]{3,15})', 1))) AS handle FROM po WHERE source IN ('reddit', 'bluesky', 'hn')),
+r AS (SELECT handle, count(*) AS mentions, max(published_at) AS l FROM h, p GROUP BY handle, now HAVING max(published_at) > now - INTERVAL 192 HOUR ORDER BY l DESC, handle LIMIT 30)
+SELECT handle, mentions FROM r ORDER BY mentions DESC, handle LIMIT 3"""))
+def n7t(spark, sf):
+    return mining.top_handles(mining.harvest_handles(posts(spark, sf), now_of(spark, sf), 192 * 3600.0)).select("handle", "mentions")
+
+
 @query("n8_top_tickers", sql(posts_sql() + r"""
 , t AS (SELECT unnest(list_distinct(regexp_extract_all(text, '\$([A-Z]{1,5})\b', 1))) AS value FROM po)
 SELECT value, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, value LIMIT 10"""))
