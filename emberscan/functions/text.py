@@ -54,12 +54,12 @@ def token_set(text: Column) -> Column:
 
 
 def shingles(words: Column, k: int = 5) -> Column:
-    """Distinct k-word shingles; texts with fewer words use pairs of characters."""
+    """Distinct k-word shingles; texts with fewer words use pairs of characters, empty ones have none."""
     n = F.size(words)
     joined = F.array_join(words, " ")
     by_word = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda i: F.array_join(F.slice(words, i, k), " "))
     chars = F.length(joined)
-    by_char = F.when(chars >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), chars - 1)), lambda i: F.substring(joined, i, 2))).otherwise(F.array(joined))
+    by_char = F.when(chars >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), chars - 1)), lambda i: F.substring(joined, i, 2))).when(chars == 1, F.array(joined)).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.when(n >= k, by_word).otherwise(by_char)))
 
 

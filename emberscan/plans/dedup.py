@@ -90,6 +90,20 @@ def d7(spark, sf):
     return groups(spark, sf)
 
 
+SHINGLES = f"""list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN length(j) >= 2 THEN list_transform(range(1, length(j)), lambda i: substr(j, i, 2)) WHEN length(j) = 1 THEN [j] ELSE [] END))"""
+
+
+@query("d7_shingle_groups", GROUPS.replace(
+    f"s AS (SELECT doc_id AS id, list_sort(list_distinct({tokens_sql('text')})) AS t FROM documents)",
+    f"w AS (SELECT doc_id AS id, {tokens_sql('text')} AS w FROM documents), s AS (SELECT id, {SHINGLES} AS t FROM (SELECT id, w, array_to_string(w, ' ') AS j FROM w))")
+    + "SELECT id, component FROM comp")
+def d7s(spark, sf):
+    """The same groups on shingles of five words."""
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), tx.shingles(tx.tokens(F.col("text"))).alias("toks"))
+    return graph.near_duplicate_groups(d)
+
+
 @query("d8_keep_earliest", GROUPS + "SELECT id, CASE WHEN id = component THEN NULL ELSE component END AS dup_of FROM comp")
 def d8(spark, sf):
     return groups(spark, sf).select("id", F.nullif("component", "id").alias("dup_of"))

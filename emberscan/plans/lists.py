@@ -9,6 +9,7 @@ from ..operators import clusters, graph, joins, reports, vectors, views
 from .derived import (SAVED_SQL, RULES_SQL, TICKS, TREND_ROWS, posts_full, rules, saved, ticks, trend_rows)
 from .early import TRENDS, scored
 from .registry import query
+from .text import N3
 from .views import mentions, now_of, posts, posts_sql, sql, table
 from .windowed import TS_SQL, scores_6h
 
@@ -242,7 +243,10 @@ def g8(spark, sf):
                     F.round("confidence", 6).alias("confidence"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
-@query("n6_active_keywords", None)
+@query("n6_active_keywords", sql(TREND_ROWS + N3 + r"""
+, tp AS (SELECT trend_id, title FROM tr, p WHERE last_seen > p.now - INTERVAL 24 HOUR AND score > 0 ORDER BY score DESC, trend_id LIMIT 5),
+w AS (SELECT unnest(list_filter(regexp_split_to_array(regexp_replace(title, '[^a-zA-Z0-9\sáéíóúñü]', ' ', 'g'), '\s+'), lambda w: length(w) > 3)[1:4]) AS keyword FROM tp)
+SELECT DISTINCT keyword FROM (SELECT keyword FROM w UNION ALL SELECT value FROM ce JOIN tp USING (trend_id) WHERE ord <= 3)"""))
 def n6(spark, sf):
     from ..operators import mining
 
