@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int = 2 << 20) -> Iterator[pa.Table]:
+def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int = 1 << 20) -> Iterator[pa.Table]:
     """Rows that arrive sorted by ``key``, in tables that never cut a key in two.
 
     A table is passed on once it holds ``limit`` bytes of text or 200,000 rows;
@@ -50,3 +51,18 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int =
             size = int(pc.sum(pc.binary_length(rest.column(text))).as_py() or 0)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of equal integer keys, from rows that arrive sorted by them."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        key = np.stack([t.column(c).to_numpy() for c in names], 1)
+        cut = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            yield t.slice(lo, hi - lo).combine_chunks()
+        held = t.slice(cut[-1])
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

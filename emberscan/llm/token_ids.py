@@ -72,7 +72,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys, self.slots = np.zeros(2 * CACHE, np.uint64), np.zeros(2 * CACHE, np.int32)
-        self.at, self.n = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int32)
+        self.at, self.n = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32)
         self.flat, self.used, self.size = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
