@@ -100,7 +100,8 @@ SHINGLES = f"""list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform
     + "SELECT id, component FROM comp")
 def d7s(spark, sf):
     """The same groups on shingles of five words."""
-    d = documents(spark, sf).select(F.col("doc_id").alias("id"), tx.shingles(tx.tokens(F.col("text"))).alias("toks"))
+    w = documents(spark, sf).select(F.col("doc_id").alias("id"), tx.tokens(F.col("text")).alias("w"))
+    d = w.select("id", tx.shingles(F.col("w")).alias("toks"))  # inside the lambda the words must be a column, or they are cut again for each shingle
     return graph.near_duplicate_groups(d)
 
 
