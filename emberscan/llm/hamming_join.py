@@ -10,10 +10,14 @@ all pairs up to ``RADIUS``. With 12 chunks of 4 values and one error that is
 23 of 48, more than five deviations above the mean for a similarity of 0.8.
 
 Equal sets are folded first, so copies of a text are one row of a class. A
-bucket never yields all its pairs: its members are checked against its
-smallest id, confirmed pairs are joined into components, and only members of
-different components are compared further, block by block on signatures.
-Everything confirmed is confirmed on the full sets.
+bucket never yields all its pairs. Its members are checked against its
+smallest id, and confirmed pairs are joined into components. Where a bucket
+holds several components, signatures within the radius tie them to a family;
+a block of a bucket returns the ties of a spanning forest, not its pairs. The
+families' components are then compared on the full sets, again in blocks that
+return a forest: all members outside a family's largest component meet all
+others, and the largest never meets itself. Whatever is linked is linked on
+full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .stage import written
+from .stage import by_key, written
 from .words import BLANK, Words, documents, mix, pieces, segment_hash, signed
 
 #: Words of a shingle.
@@ -34,8 +38,8 @@ SHINGLE = 4
 CHUNKS, WIDTH, ERRORS, BITS = 12, 4, 1, 16
 VALUES = CHUNKS * WIDTH
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-#: Rows of a bucket that are compared with each other at once.
-BLOCK = 1024
+#: Rows that are compared with as many others at once, on signatures and on full sets.
+BLOCK, FULL = 1024, 256
 #: Slots of the filter that thins texts before they are shuffled; its size is fixed.
 SLOTS = 1 << 20
 
@@ -109,7 +113,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text_a", 1 << 20):
+        for b in pieces(batches, "text_a"):
             ra, ga = shingle_sets(b.column("text_a"))
             rb, gb = shingle_sets(b.column("text_b"))
             na, nb = np.bincount(ra, minlength=b.num_rows), np.bincount(rb, minlength=b.num_rows)
@@ -121,49 +125,103 @@ def _confirm(percent: int):
     return run
 
 
-def _linked(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives that are confirmed on their full texts.
+def _thinned(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """Texts whose ids may be among those ``used`` (a column id).
 
-    Texts that take no part stay out of the shuffle as far as a filter of
-    fixed size can tell: it has ``SLOTS`` rows at most, whatever the input.
+    The others stay out of the shuffle as far as a filter of fixed size can
+    tell: it has ``SLOTS`` rows at most, whatever the input.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
-    used = pairs.select(slot("a")).union(pairs.select(slot("b"))).distinct()
-    mine = texts.withColumn("slot", slot("doc_id")).join(F.broadcast(used), "slot", "left_semi").select("doc_id", "text")
+    return texts.withColumn("slot", slot("doc_id")).join(F.broadcast(used.select(slot("id")).distinct()), "slot", "left_semi").select("doc_id", "text")
+
+
+def _linked(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of representatives that are confirmed on their full texts."""
+    mine = _thinned(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     left = pairs.join(mine.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(mine.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return written(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within the radius, from rows sorted by (key, i, j)."""
-    held = None
-    size = lambda a, b: 5 * np.minimum(a, b) >= 4 * np.maximum(a, b) - 4  # noqa: E731  a weak bound; sets are confirmed later
+class _Forest:
+    """Union-find over component ids; remembers the edges that joined two trees."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        cut = np.append(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1))), len(group))
-        ids, comp, n, block = (t.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+    def tie(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        self.edges.append((x, y))
+        return True
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([e[i] for e in self.edges], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components with signatures within the radius of each other, block by block of a bucket: a spanning forest."""
+    for t in by_key(batches, ["key", "i", "j"]):
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        comp, n, block = (t.column(c).to_numpy() for c in ("component", "n", "block"))
         sig = _sig(t.column("sig").combine_chunks())
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            first = np.flatnonzero(block[lo:hi] == group[lo, 1]) + lo
-            second = np.flatnonzero(block[lo:hi] == group[lo, 2]) + lo
-            for x in first:
-                y = second[(comp[second] > comp[x]) | ((group[lo, 1] != group[lo, 2]) & (comp[second] < comp[x]))]
-                y = y[size(n[y], n[x])]
-                y = y[(sig[y] != sig[x]).sum(1) <= RADIUS]
-                if len(y):
-                    yield pa.record_batch({"a": pa.array(np.minimum(ids[x], ids[y])), "b": pa.array(np.maximum(ids[x], ids[y]))})
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        forest, root = _Forest(), comp.copy()
+        for x in first:
+            y = second[root[second] != root[x]]
+            y = y[5 * np.minimum(n[y], n[x]) >= 4 * np.maximum(n[y], n[x])]
+            y = y[(sig[y] != sig[x]).sum(1) <= RADIUS]
+            if len(y):
+                for c in np.unique(comp[y]).tolist():
+                    forest.tie(c, int(comp[x]))
+                names, back = np.unique(comp, return_inverse=True)
+                root = np.array([forest.root(c) for c in names.tolist()])[back]
+        if forest.edges:
+            yield forest.batch()
+
+
+def _full(percent: int):
+    """Components linked by members of two blocks of a family, on their full sets: a spanning forest."""
 
-    for b in batches:
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-        group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        same = (group == group[-1]).all(1)
-        cut = int(np.argmax(same))
-        yield from pairs(t.slice(0, cut)) if cut else ()
-        held = t.slice(cut)
-    if held is not None and held.num_rows:
-        yield from pairs(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, ["family", "i", "j"]):
+            comp, side = t.column("component").to_numpy(), t.column("side").to_numpy()
+            row, g = shingle_sets(t.column("text").combine_chunks())
+            n = np.bincount(row, minlength=t.num_rows)
+            _, col, df = np.unique(g, return_inverse=True, return_counts=True)
+            often = df > 1  # a shingle of one member is in no intersection
+            place = np.cumsum(often) - 1
+            keep = often[col]
+            row, col = row[keep], place[col[keep]]
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(right):  # a block with itself
+                right = left
+            both = np.zeros((len(left), len(right)), np.float32)
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            for at in range(0, int(often.sum()), 4096):
+                lo, hi = np.searchsorted(col, [at, at + 4096])
+                m = np.zeros((t.num_rows, 4096), np.float32)
+                m[row[lo:hi], col[lo:hi] - at] = 1
+                both += m[left] @ m[right].T
+            union = n[left][:, None] + n[right][None, :] - both
+            linked = (100 * both.astype(np.float64) >= percent * union) & (comp[left][:, None] != comp[right][None, :])
+            forest = _Forest()
+            for x, y in set(zip(*(comp[k[v]].tolist() for k, v in zip((left, right), np.nonzero(linked))))):
+                forest.tie(x, y)
+            if forest.edges:
+                yield forest.batch()
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -203,11 +261,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = placed.select("key", "id", "component").join(mixed, "key").join(reps, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "sig")
-    cross = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    more = _linked(texts, written(cross, "cross"), percent)
-    joined = more.join(first.select(F.col("id").alias("a"), F.col("component").alias("src")), "a").join(
-        first.select(F.col("id").alias("b"), F.col("component").alias("dst")), "b").select("src", "dst").where("src <> dst").distinct()
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "n", "sig")
+    ties = written(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_ties, "src long, dst long").distinct(), "ties")
+
+    parts = ties.select(F.col("src").alias("id")).union(ties.select("dst")).distinct()
+    families = components(parts, ties).select(F.col("id").alias("component"), F.col("component").alias("family"))
+    inside = written(first.join(families, "component"), "families")
+    main = inside.groupBy("family", "component").agg(F.count("*").alias("k")).groupBy("family").agg(
+        F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("in_main"), F.sum("k").alias("k"))
+    main = written(main.select("family", "main", F.ceil(F.col("in_main") / FULL).alias("mains"), F.ceil((F.col("k") - F.col("in_main")) / FULL).alias("others")), "mains")
+    member = _thinned(texts, inside.select("id")).join(inside.join(main, "family"), F.col("doc_id") == F.col("id"))
+    is_main, span = F.col("component") == F.col("main"), lambda k: F.sequence(F.lit(0).cast("long"), k - 1)
+    mine = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others")))
+    # (i, j): block i of the others with block j of the others, or with block -1 - j of the largest component
+    as_main = F.transform(span(F.col("others")), lambda i: F.struct(i.alias("i"), (-1 - F.col("mine")).alias("j"), F.lit(1).alias("side")))
+    with_main = F.transform(span(F.col("mains")), lambda j: F.struct(F.col("mine").alias("i"), (-1 - j).alias("j"), F.lit(0).alias("side")))
+    with_others = F.transform(span(F.col("others")), lambda j: F.struct(
+        F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"), (F.col("mine") > j).cast("int").alias("side")))
+    meets = member.withColumn("mine", mine).withColumn("m", F.explode(F.when(is_main, as_main).otherwise(F.concat(with_main, with_others)))).select(
+        "family", "m.i", "m.j", "m.side", "component", "text")
+    joined = written(meets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_full(percent), "src long, dst long").distinct(), "joined")
     last = components(first.select(F.col("component").alias("id")).distinct(), joined)
     final = first.select("id", F.col("component").alias("c")).join(last.select(F.col("id").alias("c"), "component"), "c").select("id", "component")
     named = written(classes.select("f1", "f2", "n", "id").join(final, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")), "named")

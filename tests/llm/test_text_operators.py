@@ -60,6 +60,7 @@ def test_large_group_of_near_copies(spark):
 
 def test_blocks_of_a_mixed_bucket(spark, monkeypatch):
     monkeypatch.setattr(hamming_join, "BLOCK", 4)
+    monkeypatch.setattr(hamming_join, "FULL", 5)
     test_large_group_of_near_copies(spark)
 
 
