@@ -14,9 +14,6 @@ from ..params import Trailing
 SCALE = 96
 TRAILING = Trailing(scale=SCALE)
 
-_NOW: dict[str, datetime] = {}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -49,10 +46,7 @@ def text_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 def now_of(spark: SparkSession, sf: str) -> datetime:
     """Clock of a data set: its latest event. One column, answered from footers."""
-    if sf not in _NOW:
-        row = table(spark, sf, "events").agg(F.max("ts").alias("t")).first()
-        _NOW[sf] = row["t"]
-    return _NOW[sf]
+    return table(spark, sf, "events").agg(F.max("ts").alias("t")).first()["t"]
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
