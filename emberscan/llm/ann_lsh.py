@@ -149,14 +149,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = TABLES, prob
     visits = ask.mapInArrow(_buckets(True, tables, probes), rows).join(hot, "bucket", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     found = written(_met(dealt, visits, k + 1), "found")
 
-    # The few that met too little: all rows, in blocks.
-    total = heads.groupBy("dim").agg(F.count("*").alias("total"))
+    # The few that met too little: all rows of their length, in blocks. There are few lengths: n of them need n * n / 2 numbers.
+    total = F.broadcast(heads.groupBy("dim").agg(F.count("*").alias("total")))
     have = found.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("have"))
     unmet = ask.join(have, "id", "left").join(total, "dim").where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k + 1), F.col("total")))
-    per = F.ceil(F.col("total") / BLOCK)
-    every = heads.join(total, "dim").join(unmet.select("dim").distinct(), "dim", "left_semi").select(
-        F.col("dim").cast("long").alias("bucket"), F.pmod(F.xxhash64("id"), per).alias("block"), "id", "vec")
-    asks = unmet.select(F.col("dim").cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), per - 1)).alias("block"), "id", "vec")
+    unmet = written(unmet.select("id", "vec", "dim", F.ceil(F.col("total") / BLOCK).alias("blocks")), "unmet")
+    every = heads.join(F.broadcast(unmet.select("dim", "blocks").distinct()), "dim").select(
+        F.col("dim").cast("long").alias("bucket"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "vec")
+    asks = unmet.select(F.col("dim").cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "vec")
     full = found.union(_met(every, asks, k + 1)).groupBy("query", "id").agg(F.max("score").alias("score"))
 
     # from heads back to all ids: a query's class, and the smallest ids of every class met
