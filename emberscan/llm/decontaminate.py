@@ -16,13 +16,13 @@ shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import written
 from .words import ALNUM, Words, pieces, segment_hash, signed
 
 #: Words of a shingle.
@@ -122,7 +122,7 @@ def _scan(index: dict[int, tuple], schema):
 
 
 def _blocks(docs: DataFrame, items: DataFrame, size: int):
-    """Indexes of the windows, block by block: rarest shingle, its place, words, window hash, item."""
+    """Indexes of the windows, block by block: rarest shingle, its place, words, window hash, item; and whether it is the last."""
     flat = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
     windows = flat.mapInArrow(_item_windows(size), "item string, window long, n long, grams array<long>").distinct()
     total = windows.count()
@@ -141,7 +141,7 @@ def _blocks(docs: DataFrame, items: DataFrame, size: int):
             index[k] = tuple(np.array(x, kind)[order] for x, kind in (
                 ([g for _, g, _ in head], np.int64), ([o for _, _, o in head], np.int64), ([r.n for r in v], np.int64),
                 ([r.window for r in v], np.int64), ([r.item for r in v], object)))
-        yield index
+        yield index, i + 1 == n
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -154,7 +154,12 @@ def with_leaks(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     wide = docs.withColumn("__n_words", F.lit(0).cast("long")).withColumn("__mask", F.lit(None).cast("binary")).withColumn(
         "__items", F.array().cast("array<string>"))
     none = {k: tuple(np.zeros(0, np.int64) for _ in range(5)) for k in (1,)}
-    return reduce(lambda df, index: df.mapInArrow(_scan(index, wide.schema), wide.schema), list(_blocks(docs, items, size)) or [none], wide)
+    out, last = wide, False
+    for index, last in _blocks(docs, items, size):
+        out = out.mapInArrow(_scan(index, wide.schema), wide.schema)
+        if not last:
+            out = written(out, "leaks")  # so that the driver holds one block at a time
+    return out if last else out.mapInArrow(_scan(none, wide.schema), wide.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
