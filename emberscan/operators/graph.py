@@ -23,7 +23,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(
             F.min("component").alias("near"))
-        hooked = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("hook"))
+        # Written, so that the join below has plain tables on both sides and Spark can split the label of a large group.
+        hooked = cut(label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("hook")))
         jump = hooked.select(F.col("id").alias("hook"), F.col("hook").alias("jump"))
         nxt = cut(hooked.join(jump, "hook", "left").select(
             "id", F.col("component").alias("old"), F.least("hook", F.coalesce("jump", "hook")).alias("component")))
