@@ -77,16 +77,29 @@ def combined_trash(heuristic: Column, anomaly: Column, graph: Column) -> Column:
     return 0.4 * heuristic + 0.3 * anomaly + 0.3 * graph
 
 
-def hashtag_jaccard(tagged: DataFrame) -> DataFrame:
+def hashtag_jaccard(tagged: DataFrame, small: int = 8, share: int = 5_000) -> DataFrame:
     """Mean Jaccard of the tag sets over all pairs of posts of a trend, exactly.
 
-    Pairs are counted, not listed. For every set S of tags the posts that carry
-    all of S are counted per set size; inclusion and exclusion over S turns these
-    counts into the number of pairs with each overlap. Cost is linear in posts.
+    Equal sets are folded to one row with its count. Pairs of sets of at most
+    ``small`` tags are counted, not listed: inclusion and exclusion over at most
+    2^small subsets. A pair with a larger set is met once, at the first tag that
+    both have; its cost is the number of distinct sets that share a tag with a
+    larger one. Tags of more than ``share`` sets are dealt over several tasks.
+    ``small`` and ``share`` decide the cost only, not the result.
     ``tagged``: (trend_id, tags) with posts that have at least one tag.
     """
     rows = tagged.select("trend_id", F.array_sort(F.array_distinct("tags")).alias("tags")).where(F.size("tags") > 0)
     kinds = rows.groupBy("trend_id", "tags").agg(F.count("*").alias("c"))
+    large = kinds.where(F.size("tags") > small)
+    same = large.select("trend_id", (F.col("c") * (F.col("c") - 1) / 2).alias("j"))
+    parts = _small_pairs(kinds.where(F.size("tags") <= small)).unionByName(same).unionByName(_large_pairs(kinds, small, share))
+    n, total = kinds.groupBy("trend_id").agg(F.sum("c").alias("n")), parts.groupBy("trend_id").agg(F.sum("j").alias("j"))
+    j = F.coalesce("j", F.lit(0.0))  # trends without any common tag
+    return n.join(total, "trend_id", "left").select("trend_id", (j / F.nullif(F.col("n") * (F.col("n") - 1) / 2.0, F.lit(0.0))).alias("hashtag_jaccard"))
+
+
+def _small_pairs(kinds: DataFrame) -> DataFrame:
+    """Sums of Jaccard over the pairs of sets that are small, with those of equal sets."""
     subsets = F.aggregate("tags", F.array(F.array().cast("array<string>")), lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(t)))))
     ex = kinds.select("trend_id", F.size("tags").alias("p"), "c", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("s"))
     per = ex.groupBy("trend_id", "s", "p").agg(F.sum("c").alias("c"))
@@ -101,9 +114,26 @@ def hashtag_jaccard(tagged: DataFrame) -> DataFrame:
     weight = F.aggregate(
         F.sequence(F.lit(1), k), F.lit(0.0),
         lambda acc, o: acc + F.when((k - o) % 2 == 0, 1.0).otherwise(-1.0) * choose(o) * o / (size - o))
-    total = cross.groupBy("trend_id").agg(F.sum(pairs * weight).alias("j"))
-    n = kinds.groupBy("trend_id").agg(F.sum("c").alias("n"))
-    return n.join(total, "trend_id").select("trend_id", (F.col("j") / F.nullif(F.col("n") * (F.col("n") - 1) / 2.0, F.lit(0.0))).alias("hashtag_jaccard"))
+    return cross.groupBy("trend_id").agg(F.sum(pairs * weight).alias("j"))
+
+
+def _large_pairs(kinds: DataFrame, small: int, share: int) -> DataFrame:
+    """Sums of Jaccard over the pairs of different sets of which one at least is large."""
+    each = kinds.select("trend_id", F.explode("tags").alias("tag"), "tags", "c")
+    big = F.size("tags") > small
+    # Only tags of large sets; a tag of many sets is dealt to a grid of (left, right) shares.
+    count = each.groupBy("trend_id", "tag").agg(F.count_if(big).alias("l"), F.count("*").alias("r")).where("l > 0").select(
+        F.col("trend_id").alias("t"), F.col("tag").alias("g"), *[F.ceil(F.col(x) / F.lit(float(share))).cast("int").alias(x) for x in ("l", "r")])
+    dealt = each.join(count, F.col("trend_id").eqNullSafe(F.col("t")) & F.col("tag").eqNullSafe(F.col("g"))).drop("t", "g")
+    own = lambda of: F.pmod(F.hash("tags"), F.col(of))
+    all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    a = dealt.where(big).select("trend_id", "tag", own("l").alias("x"), all_of("r").alias("y"), F.col("tags").alias("a"), F.col("c").alias("ca")).alias("a")
+    b = dealt.select("trend_id", "tag", all_of("l").alias("x"), own("r").alias("y"), F.col("tags").alias("b"), F.col("c").alias("cb")).alias("b")
+    met = a.join(b, F.col("a.trend_id").eqNullSafe(F.col("b.trend_id")) & F.col("a.tag").eqNullSafe(F.col("b.tag")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+                 & ((F.size("b") <= small) | (F.col("a.a") < F.col("b.b"))))
+    both = met.select("a.trend_id", F.col("a.tag").alias("tag"), F.array_intersect("a", "b").alias("both"), (F.size("a") + F.size("b")).alias("size"), (F.col("ca") * F.col("cb")).alias("pairs"))
+    o = F.size("both")
+    return both.where(F.col("tag").eqNullSafe(F.get("both", F.lit(0)))).groupBy("trend_id").agg(F.sum(F.col("pairs") * o / (F.col("size") - o)).alias("j"))
 
 
 def _log_factorial(x: Column) -> Column:
