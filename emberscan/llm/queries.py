@@ -73,9 +73,14 @@ def op10_licence_scan(spark, sf):
     return licences.licence_scan(_table(spark, sf, "documents"))
 
 
+def op10_licence_windows(spark, sf):
+    """The run of words of every document that is most like a licence notice or text."""
+    return licences.notice_scan(_table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_crf_quality, op2_multiprobe_lsh, op3_debruijn_spans, op4_hamming_near_duplicates, op5_best_two_fit, op6_decontaminate,
-    op7_merkle_fixity, op8_wavelet_tokens, op9_url_templates, op10_licence_scan)}
+    op7_merkle_fixity, op8_wavelet_tokens, op9_url_templates, op10_licence_scan, op10_licence_windows)}
 
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
