@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.numeric import entropy, xlog2x
 from ..functions.times import fmt, micros, ts
 from ..operators import alerts, graph, joins, profile as prof, reports, score_early as early, search, series, tables, trust, views
-from .derived import RULES_SQL, SAVED_SQL, STEP, TICKS, TREND_ROWS, posts_full, rules, saved, ticks
+from .derived import RULES_SQL, SAVED_SQL, STEP, TICKS, TREND_ROWS, posts_full, rules, saved, ticks, whole_ticks
 from .early import TRENDS, profile, profile_sql, scored
 from .lists import VIEW, view
 from .registry import query
@@ -230,6 +230,12 @@ def a39(spark, sf):
                                    F.round("sentiment", 9).alias("sentiment"), F.round("score", 2).alias("score"), "shape", "phase")
 
 
+@query("a39_backtest_whole_score")
+def a39w(spark, sf):
+    """The early score with all its parts, penalty, gates and quota at every tick."""
+    return whole_ticks(spark, sf).select("trend_id", "tick", "m15", "m30", "m60", "mentions", "penalty", "raw_score", "gated_score", "score", "is_trending", "shape", "phase")
+
+
 @query("k4_markdown_export", sql(VIEW + """
 SELECT CAST(row_number() OVER (ORDER BY delta DESC, trend_id) AS INTEGER) AS position, '| ' || row_number() OVER (ORDER BY delta DESC, trend_id) || ' | ' || title || ' | ' || source || ' | ' || mentions || ' | '
   || CASE WHEN delta > 0 THEN '+' ELSE '' END || delta || '% | ' || confidence || '/100 |' AS line FROM vw QUALIFY position <= 50
@@ -282,6 +288,12 @@ def t6(spark, sf):
     return fired(spark, sf).withColumn("fired_at", fmt(F.col("fired_at")))
 
 
+@query("t6_alerts_fired_whole_score")
+def t6w(spark, sf):
+    """Alerts whose rules see the whole early score."""
+    return alerts.fire(alerts.hits(rules(spark), whole_ticks(spark, sf))).withColumn("fired_at", fmt(F.col("fired_at")))
+
+
 @query("a29_alert_counters", sql(HITS + """
 SELECT (SELECT count(*) FROM rules WHERE armed) AS active, count(*) AS total, count(*) FILTER (fire_no % 2 = 1) AS unack FROM fire""").replace("WITH p AS", "WITH RECURSIVE p AS"))
 def a29a(spark, sf):

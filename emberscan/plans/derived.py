@@ -35,6 +35,11 @@ def ticks(spark, sf):
     return backtest.tick_metrics(mentions(spark, sf), now_of(spark, sf), STEP)
 
 
+def whole_ticks(spark, sf):
+    """Ticks with the whole early score."""
+    return backtest.tick_scores(mentions(spark, sf), now_of(spark, sf), STEP)
+
+
 TICKS = f"""
 , grid AS (SELECT k AS tick, p.now - to_seconds({STEP} * k) AS tick_at FROM p, range(60) r(k)),
 tm0 AS (SELECT m.trend_id, tick, any_value(tick_at) AS tick_at, count(*) FILTER (published_at > tick_at - to_seconds({STEP})) AS m15,

@@ -2,12 +2,14 @@
 
 import random
 from collections import Counter
+from datetime import datetime, timedelta
 from itertools import combinations
 
 import pytest
 
+from emberscan import params
 from emberscan.llm import licences
-from emberscan.operators import trust
+from emberscan.operators import backtest, profile, score_early, trust
 from tests.llm.plain import ALNUM, lower
 
 
@@ -62,3 +64,27 @@ def test_notices_anywhere(spark):
     got = {r.doc_id: tuple(r)[1:] for r in licences.notice_scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert got == {i: best_run(x, licences.NOTICES) for i, x in rows}
     assert [got[i][0] for i in range(6)] == ["MIT", "GPL-3.0", "GPL-3.0", "BSD-3-Clause", "MIT", "MIT"] and got[7][0] is None
+
+
+# ---- a39_backtest, t6_alerts_fired -----------------------------------------------------
+def test_ticks_have_the_whole_score(spark):
+    """Every tick equals the early score of the trend's profile at that clock; floods, single mentions, one source, and mentions exactly on ticks."""
+    now, rnd, rows = datetime(2024, 1, 10, 12), random.Random(6), []
+    for i in range(400):
+        t = rnd.choice(["wide", "wide", "flood", "one_source"])
+        at = now - timedelta(minutes=15 * rnd.randrange(130)) if i % 5 == 0 else now - timedelta(seconds=rnd.randrange(86_400 // 3 if i % 3 else 115_000))
+        rows.append((t, i, "rss" if t == "one_source" else rnd.choice(params.SOURCES), 1 if t == "flood" else rnd.randrange(40), at, rnd.random()))
+    rows += [("single", 900, "hn", 1, now - timedelta(minutes=20), 0.5), ("future", 901, "hn", 1, now + timedelta(minutes=1), 0.5)]
+    df = spark.createDataFrame(rows, "trend_id string, external_id long, source string, author_id long, published_at timestamp_ntz, sentiment double").coalesce(1).cache()
+    got = {(r.trend_id, r.tick): r for r in backtest.tick_scores(df, now, 900).collect()}
+    for k in (0, 1, 2, 5, 24):
+        clock = now - timedelta(minutes=15 * k)
+        want = score_early.early_score(profile.trend_profile(df.where(df.published_at <= clock), clock), "strict").where("m60 > 0").collect()
+        assert {t for t, n in got if n == k} == {r.trend_id for r in want}
+        for r in want:
+            g = got[r.trend_id, k]
+            for c in ("m15", "m30", "m60", "mentions", "older", "authors60", "sources60", "sources15", "max_author60", "max_source60", "social60", "phase", "shape", "is_trending"):
+                assert g[c] == r[c], (c, r.trend_id, k)
+            for c in ("freshness", "trust", "entropy15", "age_hours", "penalty", "raw_score", "gated_score", "score"):
+                assert g[c] == pytest.approx(r[c], abs=1e-9), (c, r.trend_id, k)
+    assert got["single", 1].score <= 15 and {r.penalty > 0 for r in got.values()} == {True, False}
