@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,31 +59,41 @@ def fire(hit_rows: DataFrame) -> DataFrame:
         "rule_id", "trend_id", "severity", "user_id", (F.col("pos") + 1).alias("fire_no"), F.timestamp_micros("us").cast("timestamp_ntz").alias("fired_at"))
 
 
+def _spans(quiet: int):
+    """Marks alerts sent and numbers the spans they open; of each (user, group) only the last sent time is held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, span = None, None, 0
+        for b in batches:
+            sent, spans = [], []
+            for user, group, us, change in zip(*(b.column(c).to_pylist() for c in ("user_id", "group_id", "us", "is_phase_change"))):
+                if (user, group) != key:
+                    key, last, span = (user, group), None, 0
+                go = bool(change) or last is None or us - last >= quiet
+                if go:
+                    last, span = us, span + 1
+                sent.append(go)
+                spans.append(span)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent, pa.bool_()), pa.array(spans, pa.int64())], names=[*b.schema.names, "sent", "span"])
+    return run
+
+
 def limit_fatigue(fired: DataFrame, per_day: dict[str, int], groups: DataFrame, quiet_seconds: int = 7200) -> DataFrame:
     """Keep what a reader should get: one alert per group and quiet span, few per day.
 
     ``groups``: (trend_id, group_id) of similar trends. Within a user's group an
     alert is sent if none was sent in the ``quiet_seconds`` before it, or if it
     reports a phase change; ``stands_for`` counts it and those held back until
-    the next one. Then the daily limit per user and severity applies.
+    the next one. Then the daily limit per user and severity applies. Rows stay
+    rows: a group is read in order and never held as a whole.
     """
     quiet = quiet_seconds * 1_000_000
     keyed = fired.join(groups, "trend_id", "left").withColumn("group_id", F.coalesce("group_id", "trend_id"))
     us = F.unix_micros(F.col("fired_at").cast("timestamp"))
-    row = F.struct(us.alias("us"), "rule_id", "trend_id", "fired_at", "severity", "is_phase_change")
-    per = keyed.groupBy("user_id", "group_id").agg(F.array_sort(F.collect_list(row)).alias("a"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<boolean>").alias("sent"))
-
-    def step(acc, x):
-        go = x["is_phase_change"] | acc["last"].isNull() | (x["us"] - acc["last"] >= quiet)
-        return F.struct(F.when(go, x["us"]).otherwise(acc["last"]).alias("last"), F.concat(acc["sent"], F.array(go)).alias("sent"))
-
-    sent = F.aggregate("a", start, step, lambda acc: acc["sent"])
-    flat = per.select("user_id", "group_id", F.posexplode(F.arrays_zip("a", sent.alias("sent"))).alias("pos", "z")).select(
-        "user_id", "group_id", "pos", F.col("z.sent").alias("sent"), "z.a.*")
-    order = Window.partitionBy("user_id", "group_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = flat.withColumn("span", F.sum(F.col("sent").cast("int")).over(order))
-    one = numbered.withColumn("stands_for", F.count("*").over(Window.partitionBy("user_id", "group_id", "span"))).where("sent").drop("sent", "span", "pos", "us")
+    rows = keyed.select("user_id", "group_id", "rule_id", "trend_id", "fired_at", "severity", "is_phase_change", us.alias("us"))
+    inner = rows.repartition("user_id", "group_id").sortWithinPartitions("user_id", "group_id", "us", "rule_id", "trend_id", "fired_at", "severity", "is_phase_change")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    numbered = inner.mapInArrow(_spans(quiet), schema + ", sent boolean, span long")
+    one = numbered.withColumn("stands_for", F.count("*").over(Window.partitionBy("user_id", "group_id", "span"))).where("sent").drop("sent", "span", "us")
     w = Window.partitionBy("user_id", "severity", F.to_date("fired_at")).orderBy("fired_at", "rule_id", "trend_id")
     limits = F.create_map(*[F.lit(v) for kv in per_day.items() for v in kv])
     out = one.withColumn("nth", F.row_number().over(w))

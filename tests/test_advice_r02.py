@@ -9,7 +9,7 @@ import pytest
 
 from emberscan import params
 from emberscan.llm import licences
-from emberscan.operators import backtest, profile, score_early, trust
+from emberscan.operators import alerts, backtest, profile, score_early, trust
 from tests.llm.plain import ALNUM, lower
 
 
@@ -88,3 +88,23 @@ def test_ticks_have_the_whole_score(spark):
             for c in ("freshness", "trust", "entropy15", "age_hours", "penalty", "raw_score", "gated_score", "score"):
                 assert g[c] == pytest.approx(r[c], abs=1e-9), (c, r.trend_id, k)
     assert got["single", 1].score <= 15 and {r.penalty > 0 for r in got.values()} == {True, False}
+
+
+# ---- t11_alert_fatigue -----------------------------------------------------------------
+def test_fatigue_keeps_rows_as_rows(spark):
+    """Dense and sparse groups against a plain fold; no group becomes an array."""
+    rnd, start, quiet = random.Random(7), datetime(2024, 1, 1), 7200
+    rows = [(u, f"r{rnd.randrange(3)}", f"t{rnd.randrange(4)}", "high", start + timedelta(seconds=rnd.randrange(200_000) if u else 60 * i), rnd.random() < 0.05) for u in (0, 1) for i in range(600)]
+    rows = sorted({r[:5]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "user_id long, rule_id string, trend_id string, severity string, fired_at timestamp_ntz, is_phase_change boolean")
+    groups = spark.createDataFrame([("t0", "g"), ("t1", "g")], "trend_id string, group_id string")
+    out = alerts.limit_fatigue(df, {}, groups, quiet)
+    want, last = {}, {}
+    for u, r, t, _, at, change in sorted(rows, key=lambda x: (x[4], x[1], x[2])):
+        k = (u, "g" if t in ("t0", "t1") else t)
+        if k not in last or change or at - last[k][0] >= timedelta(seconds=quiet):
+            last[k] = (at, (u, r, t, at))
+            want[u, r, t, at] = 0
+        want[last[k][1]] += 1
+    assert {(x.user_id, x.rule_id, x.trend_id, x.fired_at): x.stands_for for x in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
