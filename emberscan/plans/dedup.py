@@ -183,12 +183,15 @@ s AS (SELECT doc_id, string_agg(CASE WHEN one THEN '1' ELSE '0' END, '' ORDER BY
 n AS (SELECT x.doc_id FROM s x WHERE EXISTS (SELECT 1 FROM s y WHERE y.doc_id < x.doc_id AND hamming(x.bits, y.bits) <= 3))
 SELECT source, count(*) AS docs, count(DISTINCT bits) AS distinct_contents, count(n.doc_id) AS near_copies FROM documents d JOIN s USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1""")
 def d15(spark, sf):
-    """Per source: documents, distinct SimHashes, and documents within three bits of an earlier one."""
+    """Per source: documents, distinct SimHashes, and documents within three bits of an earlier one.
+
+    Documents without tokens have no SimHash but count as documents; the SQL leaves them out.
+    """
     from ..session import cut
 
     s = cut(dedup.simhash(documents(spark, sf), "doc_id", tx.tokens(F.col("text"))))
     near = dedup.near_simhashes(s, "doc_id").withColumn("near", F.lit(1))
-    d = documents(spark, sf).select("doc_id", "source").join(s, "doc_id").join(near, "doc_id", "left")
+    d = documents(spark, sf).select("doc_id", "source").join(s, "doc_id", "left").join(near, "doc_id", "left")
     return d.groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("bits").alias("distinct_contents"), F.count("near").alias("near_copies"))
 
 

@@ -108,3 +108,13 @@ def test_fatigue_keeps_rows_as_rows(spark):
         want[last[k][1]] += 1
     assert {(x.user_id, x.rule_id, x.trend_id, x.fired_at): x.stands_for for x in out.collect()} == want
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+# ---- d15_simhash_distinct --------------------------------------------------------------
+def test_simhash_counts_documents_without_tokens(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "alpha beta gamma delta", "en", "a", 22), (2, "alpha beta gamma delta", "en", "a", 22), (3, None, "en", "a", 0), (4, "", "en", "b", 0), (5, "https://e.test/x", "en", "b", 16)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.source: (r.docs, r.distinct_contents, r.near_copies) for r in entry.queries()["d15_simhash_distinct"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (3, 1, 1), "b": (2, 0, 0)}
