@@ -218,6 +218,7 @@ c AS (SELECT count(*) FILTER (predicted AND actual) AS tp, count(*) FILTER (pred
   round(avg(lead) FILTER (predicted AND actual), 6) AS mean_lead_hours FROM e)
 SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_positive_rate FROM c""".replace(", e AS", "WITH e AS", 1))
 def a38(spark, sf):
+    """Precision, recall and lead over documents. The tables hold no detection times: the lead is a stand-in made from the id, not a measured time."""
     d = documents(spark, sf).select(F.col("doc_id").alias("id"), (F.col("n_chars") > 2000).alias("predicted"), (F.col("doc_id") % 48).alias("lead_hours"))
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("actual"))
     return reports.evaluate(d, lab).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "false_positive_rate", "mean_lead_hours")})
