@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import ann_lsh, crf_quality, debruijn, decontaminate, fixity, hamming_join, licences, packing, url_templates, wavelet
+from . import ann_lsh, crf_quality, debruijn, decontaminate, filter_audit, fixity, hamming_join, licences, packing, url_templates, vector_codes, wavelet
 from .words import documents
 
 
@@ -78,9 +78,20 @@ def op10_licence_windows(spark, sf):
     return licences.notice_scan(_table(spark, sf, "documents"))
 
 
+def op11_adaptive_bounds(spark, sf):
+    """Every vector coded by codebooks of its 16 parts."""
+    return vector_codes.vector_codes(_table(spark, sf, "embeddings"))
+
+
+def op12_filter_audit(spark, sf):
+    """Five filters in all their orders: what each step keeps, removes and loses in every source."""
+    return filter_audit.interaction_audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_crf_quality, op2_multiprobe_lsh, op3_debruijn_spans, op4_hamming_near_duplicates, op5_best_two_fit, op6_decontaminate,
-    op7_merkle_fixity, op8_wavelet_tokens, op9_url_templates, op10_licence_scan, op10_licence_windows)}
+    op7_merkle_fixity, op8_wavelet_tokens, op9_url_templates, op10_licence_scan, op10_licence_windows,
+    op11_adaptive_bounds, op12_filter_audit)}
 
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -121,4 +132,6 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.c, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op7_merkle_fixity": fixity.ORACLE,
     "op10_licence_scan": licences.oracle(),
+    "op11_adaptive_bounds": vector_codes.oracle(),
+    "op12_filter_audit": filter_audit.ORACLE,
 }
