@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import ann_lsh, crf_quality, debruijn, decontaminate, filter_audit, fixity, hamming_join, licences, packing, url_templates, vector_codes, wavelet
+from . import ann_lsh, crf_quality, debruijn, decontaminate, filter_audit, fixity, hamming_join, licences, packing, signature_trees, url_templates, vector_codes, wavelet
 from .words import documents
 
 
@@ -88,15 +88,34 @@ def op12_filter_audit(spark, sf):
     return filter_audit.interaction_audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op13_signature_trees(spark, sf):
+    """Components of documents whose shingle sets are similar by 0.85 or more."""
+    return signature_trees.jaccard_components(_table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_crf_quality, op2_multiprobe_lsh, op3_debruijn_spans, op4_hamming_near_duplicates, op5_best_two_fit, op6_decontaminate,
     op7_merkle_fixity, op8_wavelet_tokens, op9_url_templates, op10_licence_scan, op10_licence_windows,
-    op11_adaptive_bounds, op12_filter_audit)}
+    op11_adaptive_bounds, op12_filter_audit, op13_signature_trees)}
 
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _near_sql(percent: int, kept: str = "") -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_BLANK}) w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) s FROM d),
+n AS (SELECT doc_id, count(*) n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= {percent} * (a.n + b.n - k)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, u.y FROM reach JOIN u ON u.x = reach.r),
+c AS (SELECT doc_id, min(r) c FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id{kept} FROM c LEFT JOIN n USING (doc_id)"""
+
+
 ORACLES = {
     "op3_debruijn_spans": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_BLANK}) w FROM documents),
@@ -106,17 +125,7 @@ gone AS (SELECT doc_id, list(DISTINCT p) g FROM (SELECT doc_id, unnest(range(s,
 kept AS (SELECT d.doc_id, len(w) n, coalesce(len(g), 0) r,
                 list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: g IS NULL OR NOT list_contains(g, x[2])) k FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(list_transform(k, lambda x: x[1]), ' ')) AS kept_sha256 FROM kept""",
-    "op4_hamming_near_duplicates": f"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_BLANK}) w FROM documents),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-             ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) s FROM d),
-n AS (SELECT doc_id, count(*) n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id x, b.doc_id y, count(*) k FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
-u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, u.y FROM reach JOIN u ON u.x = reach.r),
-c AS (SELECT doc_id, min(r) c FROM reach GROUP BY doc_id)
-SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c AS component_id, c = c.doc_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op4_hamming_near_duplicates": _near_sql(80, ", c = c.doc_id AS kept"),
     "op6_decontaminate": f"""
 WITH i AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(w), 10) n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') k
@@ -134,4 +143,5 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op10_licence_scan": licences.oracle(),
     "op11_adaptive_bounds": vector_codes.oracle(),
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_signature_trees": _near_sql(85),
 }
