@@ -25,17 +25,36 @@ from pyspark.sql import functions as F
 from .stage import written
 from .words import mix, signed
 
-TABLES, HASHES, PROBES = 10, 4, 40
+TABLES, HASHES, PROBES = 10, 12, 48
 #: Width of a cell, in standard deviations of a projection of a random unit vector.
-WIDTH = 1.2
+WIDTH = 3.0
+#: Projections in which a probe leaves its own cell at most.
+CHANGES = 3
 #: Vectors that are compared at once.
 BLOCK = 2048
 
-_STEPS = np.array(list(itertools.product((0, -1, 1), repeat=HASHES)))
+
+
+def _steps() -> np.ndarray:
+    """All ways to go one cell down or up in at most ``CHANGES`` projections."""
+    out = [np.zeros(HASHES, np.int64)]
+    for r in range(1, CHANGES + 1):
+        for where in itertools.combinations(range(HASHES), r):
+            for way in itertools.product((-1, 1), repeat=r):
+                out.append(np.zeros(HASHES, np.int64))
+                out[-1][list(where)] = way
+    return np.stack(out)
+
+
+_STEPS = _steps()
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
-    return np.array(col.to_pylist(), np.float64) if len(col) else np.zeros((0, 1))
+    """Vectors scaled by a power of two to components of at most one: cosines stay, and no square over- or underflows to nothing."""
+    if not len(col):
+        return np.zeros((0, 1))
+    x = np.array(col.to_pylist(), np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -62,9 +81,7 @@ def _buckets(queries: bool, tables: int, probes: int):
                         cells = cell[:, None, :]
                         if queries:
                             f = p - cell
-                            cost = np.stack([np.zeros_like(f), f * f, (1 - f) ** 2])  # stay, down, up
-                            kind = np.where(_STEPS == 0, 0, np.where(_STEPS < 0, 1, 2))
-                            total = sum(cost[kind[:, j], :, j] for j in range(HASHES)).T
+                            total = (f * f) @ (_STEPS < 0).T + (1 - f) ** 2 @ (_STEPS > 0).T
                             best = np.argsort(total, axis=1, kind="stable")[:, :probes]
                             cells = cells + _STEPS[best]
                         key = np.full(cells.shape[:2], np.uint64(int(dim) * 1000 + t))

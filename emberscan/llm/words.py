@@ -2,8 +2,8 @@
 
 A word is a maximal run of bytes outside a separator set that is plain ASCII,
 so words of UTF-8 text can be found byte by byte. Hashes are polynomials over
-prefix sums modulo 2**64 with a final mix: equal byte runs have equal hashes
-on every machine and in every batch.
+prefix sums modulo two primes with a final mix: equal byte runs have equal
+hashes on every machine and in every batch.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that are turned into arrays at once; a longer document is handled alone.
 PIECE_BYTES = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Two primes below 2**31, each 2**31 less the second number, and the base of its polynomial.
+_FIELDS = ((2147483647, 1, 1_073_676_287), (2147483629, 19, 998_244_353))
 _BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def separators(*spans: tuple[int, int]) -> np.ndarray:
@@ -49,25 +49,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64, kept between calls."""
-    if not _powers or len(_powers[0]) <= n:
+def _reduced(x: np.ndarray, prime: int, short: int) -> np.ndarray:
+    """Residues of values of up to 62 bits, without division."""
+    x = (x & 0x7FFFFFFF) + short * (x >> 31)
+    x = (x & 0x7FFFFFFF) + short * (x >> 31)
+    return np.where(x >= prime, x - prime, x)
+
+
+def _power_table(base: int, size: int, prime: int, short: int) -> np.ndarray:
+    p = np.ones(1, np.int64)
+    while len(p) < size:
+        p = np.append(p, _reduced(p * pow(base, len(p), prime), prime, short))
+    return p[:size]
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers 0..n of each base and of its inverse modulo its prime, kept between calls."""
+    if not _powers or len(_powers[0][0]) <= n:
         size = max(n + 1, PIECE_BYTES + 2)
-        made = []
-        for b in (_BASE, _BACK):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        _powers[:] = made
-    return _powers[0], _powers[1]
+        _powers[:] = [tuple(_power_table(b, size, prime, short) for b in (base, pow(base, -1, prime))) for prime, short, base in _FIELDS]
+    return _powers
 
 
 def segment_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every pair, independent of where the run stands."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:len(values)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
+    """Hash of ``values[start:end]`` for every pair, independent of where the run stands.
+
+    Two polynomials, one over the low and one over the high 31 bits of the
+    values, each modulo its own prime: unlike powers of two, these leave no
+    pattern of values (such as the Thue-Morse sequence and its complement)
+    whose terms cancel whatever the base.
+    """
+    h = np.zeros(len(start), np.uint64)
+    for (prime, short, _), (up, down), low in zip(_FIELDS, powers(len(values) + 1), (0, 33)):
+        x = ((values >> np.uint64(low)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+        total = np.zeros(len(values) + 1, np.int64)
+        np.cumsum(_reduced(x * up[:len(values)], prime, short), out=total[1:])  # below 2**62 for two thousand million values
+        mine = _reduced(_reduced(total[end] - total[start], prime, short) * down[start], prime, short)
+        h = (h << np.uint64(32)) | mine.astype(np.uint64)
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -74,3 +74,49 @@ def leaks(rows, items, size=10):
                     hit[i:i + n] = [True] * n
         out[doc] = (len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit))
     return out
+
+
+def url_tree(pages, wide=32, weight=2.0, z=1.96, depth=8):
+    """{page row number: (template, verdict)} of rows (host, path, said), ``said`` being True, False or None."""
+    segs = [["*" if re.search("[0-9]", s) else s for s in p.split("/") if s] for _, p, _ in pages]
+    nodes, prefix = [[] for _ in pages], [""] * len(pages)
+    for d in range(min(depth, max(map(len, segs), default=0))):
+        children = defaultdict(set)
+        for (h, _, _), p, s in zip(pages, prefix, segs):
+            if len(s) > d:
+                children[h, p].add(s[d])
+        for i, ((h, _, _), s) in enumerate(zip(pages, segs)):
+            if len(s) > d:
+                prefix[i] += "/" + ("*" if len(children[h, prefix[i]]) > wide else s[d])
+                nodes[i].append(prefix[i])
+    counts = defaultdict(lambda: [0, 0])
+    for (h, _, said), mine in zip(pages, nodes):
+        for key in [(None, None), (h, ""), *((h, n) for n in mine)]:
+            counts[key][0] += said is not None
+            counts[key][1] += said is True
+    pool = {}
+    siblings = defaultdict(set)
+    for (h, _, _), mine in zip(pages, nodes):
+        for parent, n in zip(["", *mine], mine):
+            siblings[h, parent].add(n)
+    for (h, _), group in siblings.items():
+        runs, known = [], [n for n in group if counts[h, n][0]]
+        for n in sorted(known, key=lambda n: (counts[h, n][1] / counts[h, n][0], n)):
+            k, g = counts[h, n]
+            if runs:
+                k0, g0 = counts[h, runs[-1][-1]]
+                both = (g + g0) / (k + k0)
+                if abs(g / k - g0 / k0) <= z * (both * (1 - both) * (1 / k + 1 / k0)) ** 0.5:
+                    runs[-1].append(n)
+                    continue
+            runs.append([n])
+        for run in runs + [[n] for n in group if not counts[h, n][0]]:
+            total = [sum(counts[h, n][i] for n in run) for i in (0, 1)]
+            pool.update({(h, n): total for n in run})
+    out = {}
+    for i, ((h, _, said), mine) in enumerate(zip(pages, nodes)):
+        purity = 0.5
+        for k, g in [counts[None, None], counts[h, ""], *(pool[h, n] for n in mine)]:
+            purity = (g + weight * purity) / (k + weight)
+        out[i] = prefix[i] + "/**" * (len(segs[i]) > depth), said if said is not None else purity >= 0.5
+    return out

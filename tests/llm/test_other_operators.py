@@ -1,6 +1,8 @@
 """Line field, nearest vectors, fixity audit, URL filter and the pipeline."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -151,6 +153,37 @@ def test_wildcards_and_purity(spark):
     assert got[30].verdict == "allow" and got[79].verdict == "block" and got[79].rule is None
 
 
+def test_url_tree(spark):
+    """Purity smoothed from all hosts down to the template, pooled siblings and wildcards, against a plain tree."""
+    rnd = random.Random(8)
+    hosts = ["a.com", "b.net", "c.net", "d.org", "shop.example.com", "e.net"]
+    words = ["en", "es", "fr", "item", "tag", "p7", *("".join(rnd.choice("bcdfgh") for _ in range(5)) for _ in range(50))]
+    rows = []
+    for i in range(900):
+        h = rnd.choice(hosts)
+        first = rnd.choice(words[:6]) if h != "d.org" else rnd.choice(words)
+        rows.append((i, f"http://{h}/" + "/".join([first] + [rnd.choice(words[:4]) for _ in range(rnd.randrange(0, 10))])))
+    rows += [(900 + i, f"http://c.net/{'es' if i % 4 else 'tag'}/x") for i in range(40)]
+    got = {r.page_id: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    said = [(got[i].host, got[i].path, None if got[i].rule is None else dict(((h + p), v) for h, p, v in url_templates.RULES)[got[i].rule] == "allow") for i in range(len(rows))]
+    want = plain.url_tree(said)
+    assert {i: (r.template, r.verdict == "allow") for i, r in got.items()} == want
+    free = [r.verdict for r in got.values() if r.rule is None]
+    assert free.count("block") > 50 and free.count("allow") > 50
+
+
+def test_nearest_of_extreme_sizes(spark):
+    """Finite vectors of any size have true cosines."""
+    rows = [(0, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [0.5, 0.4]), (3, [1e200, 1e200]), (4, [1e-200, 2e-200]), (5, [5e-324, 0.0]), (6, [1e308, -1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann_lsh.nearest(df, F.col("vec_id") >= 0, k=6).collect()}
+    whole = {i: [float(Fraction(x) / max(abs(Fraction(y)) for y in v)) for x in v] for i, v in rows}
+    assert len(got) == 42
+    for (a, b), score in got.items():
+        x, y = whole[a], whole[b]
+        assert score == pytest.approx(sum(p * q for p, q in zip(x, y)) / math.hypot(*x) / math.hypot(*y), abs=1e-12)
+
+
 # ---- pipeline -----------------------------------------------------------------------------
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as cp

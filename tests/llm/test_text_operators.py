@@ -100,3 +100,21 @@ def test_empty_benchmark(spark, docs, no_docs):
     assert decontaminate.contamination(no_docs, none).collect() == []
     got = decontaminate.contamination(docs, none).collect()
     assert len(got) == docs.count() and not any(r.contaminated for r in got)
+
+
+@pytest.mark.parametrize("turns", [6, 10, 11])
+def test_words_that_power_sums_confuse(spark, turns):
+    """The Thue-Morse word and its complement, also as patterns of words, are different words to every operator."""
+    bits = [0]
+    for _ in range(turns):
+        bits += [1 - b for b in bits]
+    words = ["".join("ab"[b ^ k] for b in bits) for k in (0, 1)]
+    frame = [f"w{i}" for i in range(19)]
+    rows = [(i, " ".join([*frame[:9], w, *frame[9:]])) for i, w in enumerate(words)]
+    rows += [(2 + k, " ".join("xy"[b ^ k] for b in bits[:64])) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in debruijn.repeated_spans(df).collect()} == plain.spans(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in hamming_join.near_duplicates(df).collect()} == plain.near(rows)
+    items = [(0, rows[0][1]), (1, words[0]), (2, rows[2][1])]
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain.leaks(rows, items)
