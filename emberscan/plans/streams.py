@@ -6,15 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.times import epoch_micros, fmt
+from ..functions.times import epoch_micros, fmt, ts
 from ..operators import alerts
 from ..session import cut, shared_dir
-from ..streaming import clustering, events as ev, ingest, stateful
+from ..streaming import clustering, events as ev, ingest, stateful, timers
 from . import intake
 from .analysis import HITS
 from .derived import TICKS, rules, ticks
 from .registry import query
-from .views import SCALE, as_mentions, now_of, sql, table
+from .views import SCALE, as_mentions, mentions, now_of, sql, table
 from .windowed import bucket_sql
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -137,6 +137,28 @@ def t8(spark, sf):
     return out.select("trend_id", "m15", "m30", "m60", "sources60", F.round("velocity", 6).alias("velocity"))
 
 
+def _posts(spark, sf):
+    """Mentions with their time in microseconds, for landings in its order."""
+    return mentions(spark, sf).select("external_id", "trend_id", "source", "author_id", F.col("published_at").cast("timestamp").alias("published_at"),
+                                      F.unix_micros(F.col("published_at").cast("timestamp")).alias("us"))
+
+
+@query("t8_stream_decay", sql(f"""
+, q AS (SELECT trend_id, source, CAST(floor(epoch_us(published_at) / {SCALE * 9e8}) AS BIGINT) AS d FROM m, p WHERE NOT (trend_id = 't3' AND published_at >= now - INTERVAL 12 DAY)),
+w AS (SELECT max(CAST(floor(epoch_us(published_at) / 1000) AS BIGINT)) - 3600000 AS w FROM m, p WHERE NOT (trend_id = 't3' AND published_at >= now - INTERVAL 12 DAY)),
+g AS (SELECT trend_id, unnest(range(min(d) + 1, max(d) + 6)) AS t FROM q GROUP BY 1),
+c AS (SELECT g.trend_id, t, count(d) FILTER (d >= t - 1) AS m15, count(d) FILTER (d >= t - 2) AS m30, count(d) AS m60, count(DISTINCT source) AS sources60
+  FROM g LEFT JOIN q ON q.trend_id = g.trend_id AND d < t AND d >= t - 4 GROUP BY ALL),
+z AS (SELECT *, lag(m60) OVER (PARTITION BY trend_id ORDER BY t) AS before FROM c)
+SELECT trend_id, t * {SCALE * 900_000_000} AS at_us, m15, m30, m60, CAST(sources60 AS INTEGER) AS sources60, round(m15 / 15.0, 6) AS velocity
+FROM z, w WHERE t * {SCALE * 900_000} < w.w AND (m60 > 0 OR before > 0)"""))
+def t8d(spark, sf):
+    """Three landings; trend t3 falls silent and its rows fall to zero, reported by timers alone."""
+    m = _posts(spark, sf).where(~((F.col("trend_id") == "t3") & (F.col("published_at") >= ts(now_of(spark, sf), -12 * 86400))))
+    out = in_landings(m, 3, "us", to_table(spark, lambda s: timers.decaying_metrics(s, 60.0 * SCALE)))
+    return out.select("trend_id", "at_us", "m15", "m30", "m60", "sources60", F.round("velocity", 6).alias("velocity"))
+
+
 @query("t9_stream_clustering")
 def t9(spark, sf):
     """Documents in three batches; equals the batch clustering of all of them."""
@@ -158,6 +180,35 @@ def t10(spark, sf):
     return ingest.run_to_table(ev.filter_events(s))
 
 
+@query("t13_stream_life_cycle", sql("""
+, q AS (SELECT source || '/' || author_id AS key, epoch_us(published_at) AS us FROM m),
+w AS (SELECT CAST(floor(max(us) / 1000) AS BIGINT) - 3600000 AS w FROM q),
+g AS (SELECT *, lag(us) OVER (PARTITION BY key ORDER BY us) AS prev FROM q),
+k AS (SELECT *, CASE WHEN prev IS NULL THEN 'new' WHEN us - prev > 6.048e11 THEN 'renewed' WHEN us - prev > 8.64e10 THEN 'reopened' END AS kind FROM g),
+v AS (SELECT *, sum(CASE WHEN kind IN ('new', 'renewed') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY us) AS version, lead(us) OVER (PARTITION BY key ORDER BY us) AS next FROM k),
+e AS (SELECT key, version, kind, us AS at_us FROM v WHERE kind IS NOT NULL
+  UNION ALL SELECT key, version, 'archived', us + 86400000000 FROM v WHERE next IS NULL OR next - us > 8.64e10)
+SELECT key, CAST(version AS BIGINT) AS version, kind, CAST(at_us AS BIGINT) AS at_us FROM e, w WHERE floor(at_us / 1000) < w"""))
+def t13l(spark, sf):
+    """Three landings; every class of transition, given out as the watermark passes it."""
+    m = _posts(spark, sf).withColumn("key", F.concat_ws("/", "source", F.col("author_id").cast("string")))
+    return in_landings(m, 3, "us", to_table(spark, lambda s: timers.life_cycle(s, "key")))
+
+
+@query("j8_stream_pickup", sql("""
+, x AS (SELECT a.trend_id, a.external_id, min(epoch_us(b.published_at) - epoch_us(a.published_at)) AS lag_us FROM m a JOIN m b
+  ON a.trend_id = b.trend_id AND a.source = 'reddit' AND b.source = 'rss' AND b.published_at >= a.published_at AND b.published_at <= a.published_at + INTERVAL 1 HOUR GROUP BY ALL)
+SELECT * FROM x"""))
+def j8s(spark, sf):
+    """Three landings in which every third post comes half a day late; a closing post of each side, ten days on, lets the last intervals end."""
+    m = _posts(spark, sf).select("external_id", "trend_id", "source", "published_at", "us")
+    m = m.withColumn("us", F.when(F.col("external_id") % 3 == 0, F.col("us") + 43_200_000_000).otherwise(F.col("us")))
+    end = ts(now_of(spark, sf), 10 * 86400, "timestamp")
+    last = m.agg(F.max("us").alias("us")).select(F.lit(-1).cast("bigint").alias("external_id"), F.lit("~end").alias("trend_id"), F.explode(F.array(F.lit("reddit"), F.lit("rss"))).alias("source"),
+                                                 end.alias("published_at"), F.col("us"))
+    return in_landings(m.unionByName(last), 3, "us", to_table(spark, lambda s: timers.pickup(s, "reddit", "rss", lateness="1 day"))).where("trend_id <> '~end'")
+
+
 @query("t13_stream_sessions", sql("""
 , g AS (SELECT author_id, published_at, epoch_us(published_at) - lag(epoch_us(published_at)) OVER (PARTITION BY author_id ORDER BY published_at) AS gap FROM m),
 v AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 8.64e10 THEN 1 ELSE 0 END) OVER (PARTITION BY author_id ORDER BY published_at) AS s FROM g)
