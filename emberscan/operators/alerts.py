@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,20 +44,28 @@ def hits(rules: DataFrame, metrics: DataFrame) -> DataFrame:
     return rules_for_trends(rules.where("armed"), with_previous(metrics)).where(condition(F.col("condition")))
 
 
+def _fires(hits: pa.Table) -> pa.Table:
+    """Firings of one rule and trend: from each, on to the first hit that its cooldown has passed."""
+    t = np.sort(hits.column("us").to_numpy())
+    gap, at, out = hits.column("cooldown_sec")[0].as_py() * 1_000_000, 0, []
+    while at < len(t):
+        out.append(t[at])
+        at = max(at + 1, int(np.searchsorted(t, t[at] + gap)))
+    one = hits.slice(0, 1).select(["rule_id", "trend_id", "severity", "user_id"])
+    rows = one.take(pa.array(np.zeros(len(out), np.int64)))
+    return rows.append_column("fire_no", pa.array(np.arange(1, len(out) + 1), pa.int32())).append_column("us", pa.array(out, pa.int64()))
+
+
 def fire(hit_rows: DataFrame) -> DataFrame:
     """Hits that fire: the first, then the first after each cooldown.
 
-    A fold over the ticks of one (rule, trend). Its length is the number of ticks
-    kept, one per trigger interval, whatever the traffic.
+    One (rule, trend) is one group: its hits are at most one for each tick, whatever the traffic.
     """
     us = F.unix_micros(F.col("at").cast("timestamp"))
-    per = hit_rows.groupBy("rule_id", "trend_id", "cooldown_sec", "severity", "user_id").agg(F.array_sort(F.collect_list(us)).alias("t"))
-    gap = F.col("cooldown_sec") * 1_000_000
-    fold = F.aggregate(
-        "t", F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.get(acc, F.size(acc) - 1) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return per.select("rule_id", "trend_id", "severity", "user_id", F.posexplode(fold).alias("pos", "us")).select(
-        "rule_id", "trend_id", "severity", "user_id", (F.col("pos") + 1).alias("fire_no"), F.timestamp_micros("us").cast("timestamp_ntz").alias("fired_at"))
+    rows = hit_rows.select("rule_id", "trend_id", "cooldown_sec", "severity", "user_id", us.alias("us"))
+    fired = rows.groupBy("rule_id", "trend_id", "cooldown_sec", "severity", "user_id").applyInArrow(
+        _fires, "rule_id string, trend_id string, severity string, user_id bigint, fire_no int, us bigint")
+    return fired.select("rule_id", "trend_id", "severity", "user_id", "fire_no", F.timestamp_micros("us").cast("timestamp_ntz").alias("fired_at"))
 
 
 def _spans(quiet: int):

@@ -11,48 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions.numeric import entropy, js_round2, xlog2x
-from ..functions.times import age_seconds, epoch_micros, micros, ts
+from ..functions.numeric import entropy, xlog2x
+from ..functions.times import epoch_micros, micros, ts
 from . import score_early as early
 from .profile import lookup
 
 
-def tick_metrics(mentions: DataFrame, now: datetime, step_seconds: float, unit_minutes: float = 15.0) -> DataFrame:
-    """Trailing windows of one, two and four steps at every tick of a grid.
-
-    Tick 0 is ``now``, tick k is k steps earlier. A mention is counted into the
-    at most four ticks whose long window holds it, so nothing is joined to the
-    grid: rows are reduced to (trend, source, author, step), spread to four
-    ticks, and reduced again over two grouping sets. ``score`` is four parts of
-    the early score over their weight; ``tick_scores`` has the whole score.
-    """
-    step = F.floor(age_seconds(F.col("published_at"), now) / F.lit(float(step_seconds)))
-    fine = mentions.where(F.col("published_at") <= ts(now)).groupBy("trend_id", "source", "author_id", step.alias("step")).agg(
-        F.count("*").alias("n"), F.sum("sentiment").alias("s"))
-    spread = fine.select("*", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("back")).withColumn("tick", F.col("step") - F.col("back")).where("tick >= 0")
-    part = spread.groupingSets([["trend_id", "tick", "author_id"], ["trend_id", "tick", "source"]], "trend_id", "tick", "author_id", "source").agg(
-        F.grouping("source").alias("by_author"),
-        F.sum(F.when(F.col("back") == 0, F.col("n")).otherwise(0)).alias("m15"),
-        F.sum(F.when(F.col("back") <= 1, F.col("n")).otherwise(0)).alias("m30"),
-        F.sum("n").alias("m60"), F.sum("s").alias("s60"))
-    a, s = F.col("by_author") == 1, F.col("by_author") == 0
-    per = part.groupBy("trend_id", "tick").agg(
-        F.sum(F.when(a, F.col("m15"))).alias("m15"), F.sum(F.when(a, F.col("m30"))).alias("m30"), F.sum(F.when(a, F.col("m60"))).alias("m60"),
-        (F.sum(F.when(a, F.col("s60"))) / F.sum(F.when(a, F.col("m60")))).alias("sentiment"),
-        F.count_if(a).alias("authors60"), F.count_if(s).alias("sources60"), F.count_if(s & (F.col("m15") > 0)).alias("sources15"))
-    born = mentions.groupBy("trend_id").agg((F.max(age_seconds(F.col("published_at"), now))).alias("_age"))
-    scale = step_seconds / (unit_minutes * 60.0)
-    m = early.with_motion(per.join(born, "trend_id")).withColumns({
-        "age_hours": (F.col("_age") - F.col("tick") * F.lit(float(step_seconds))) / 3600.0 / scale,
-        "at": F.timestamp_micros(F.unix_micros(ts(now).cast("timestamp")) - F.col("tick") * F.lit(int(step_seconds * 1e6))).cast("timestamp_ntz"),
-    }).drop("_age")
-    m = m.withColumn("shape", early.shape(F.col("acceleration"), F.col("accel_ratio"), F.col("is_new")))
-    m = m.withColumn("phase", early.phase(F.col("shape"), F.col("velocity")))
-    parts = (0.30 * F.least(F.lit(1.0), F.col("velocity") / 5) + 0.25 * early.acceleration_score(F.col("accel_ratio"), F.col("is_new"))
-             + 0.15 * F.least(F.lit(1.0), F.col("sources60") / 3) + 0.10 * F.least(F.lit(1.0), F.col("authors60") / F.col("m60")))
-    return m.withColumn("score", js_round2(parts / 0.80 * 100))
-
-
 def _history(decay: float, day: int):
     """All that a trend had before each tick: mentions, those older than a day, sums of decay and of trust."""
     def run(slots: pa.Table) -> pa.Table:
@@ -78,7 +42,10 @@ def _history(decay: float, day: int):
 def tick_scores(mentions: DataFrame, now: datetime, step_seconds: float, trust: dict[str, float] = params.TRUST_STRICT) -> DataFrame:
     """The whole early score at every tick that has a mention in its long window: what ``early_score`` says of ``trend_profile`` at that clock.
 
-    A step is one short window. Windows are counted as in ``tick_metrics``; what
+    Tick 0 is ``now``, tick k is k steps, or short windows, earlier. A mention
+    is counted into the at most four ticks whose long window holds it, so
+    nothing is joined to the grid: rows are reduced to (trend, source, author,
+    step), spread to four ticks, and reduced again over two grouping sets. What
     reaches back to the first mention is summed over a trend's steps, whose
     number the clock bounds.
     """

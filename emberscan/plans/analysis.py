@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.numeric import entropy, xlog2x
 from ..functions.times import fmt, micros, ts
 from ..operators import alerts, graph, joins, profile as prof, reports, score_early as early, search, series, tables, trust, views
-from .derived import RULES_SQL, SAVED_SQL, STEP, TICKS, TREND_ROWS, posts_full, rules, saved, ticks, whole_ticks
+from .derived import RULES_SQL, SAVED_SQL, STEP, TICKS, TREND_ROWS, posts_full, rules, saved, ticks
 from .early import TRENDS, profile, profile_sql, scored
 from .lists import VIEW, view
 from .registry import query
@@ -225,16 +225,12 @@ def a38(spark, sf):
 
 
 @query("a39_backtest", sql(TICKS + """
-SELECT trend_id, tick, CAST(m15 AS BIGINT) AS m15, m30, m60, authors60, sources60, sources15, round(sentiment, 9) AS sentiment, round(score, 2) AS score, shape, phase FROM tm"""))
+SELECT trend_id, tick, CAST(m15 AS BIGINT) AS m15, m30, m60, mentions, authors60, sources60, sources15, round(sentiment, 9) AS sentiment, round(penalty, 6) AS penalty,
+  round(raw_score, 2) AS raw_score, round(gated_score, 2) AS gated_score, round(score, 2) AS score, is_trending, shape, phase FROM tm"""))
 def a39(spark, sf):
-    return ticks(spark, sf).select("trend_id", "tick", "m15", "m30", "m60", "authors60", "sources60", "sources15",
-                                   F.round("sentiment", 9).alias("sentiment"), F.round("score", 2).alias("score"), "shape", "phase")
-
-
-@query("a39_backtest_whole_score")
-def a39w(spark, sf):
     """The early score with all its parts, penalty, gates and quota at every tick."""
-    return whole_ticks(spark, sf).select("trend_id", "tick", "m15", "m30", "m60", "mentions", "penalty", "raw_score", "gated_score", "score", "is_trending", "shape", "phase")
+    return ticks(spark, sf).select("trend_id", "tick", "m15", "m30", "m60", "mentions", "authors60", "sources60", "sources15", F.round("sentiment", 9).alias("sentiment"),
+                                   *[F.round(c, d).alias(c) for c, d in (("penalty", 6), ("raw_score", 2), ("gated_score", 2), ("score", 2))], "is_trending", "shape", "phase")
 
 
 @query("k4_markdown_export", sql(VIEW + """
@@ -289,12 +285,6 @@ def t6(spark, sf):
     return fired(spark, sf).withColumn("fired_at", fmt(F.col("fired_at")))
 
 
-@query("t6_alerts_fired_whole_score")
-def t6w(spark, sf):
-    """Alerts whose rules see the whole early score."""
-    return alerts.fire(alerts.hits(rules(spark), whole_ticks(spark, sf))).withColumn("fired_at", fmt(F.col("fired_at")))
-
-
 @query("a29_alert_counters", sql(HITS + """
 SELECT (SELECT count(*) FROM rules WHERE armed) AS active, count(*) AS total, count(*) FILTER (fire_no % 2 = 1) AS unack FROM fire""").replace("WITH p AS", "WITH RECURSIVE p AS"))
 def a29a(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import bucket
 from ..operators import backtest, clusters
-from .early import TRENDS, scored
+from .early import TRENDS, profile_sql, score_sql, scored
 from .views import SCALE, mentions, now_of, posts, posts_sql, texts
 
 STEP = 15 * 60 * SCALE  # one scaled quarter of an hour: a day
@@ -32,31 +32,18 @@ tr AS (SELECT sc.*, CASE WHEN length(title) > 140 THEN substr(title, 1, 137) ||
 
 
 def ticks(spark, sf):
-    return backtest.tick_metrics(mentions(spark, sf), now_of(spark, sf), STEP)
-
-
-def whole_ticks(spark, sf):
-    """Ticks with the whole early score."""
+    """The whole early score of every trend at a grid of clocks."""
     return backtest.tick_scores(mentions(spark, sf), now_of(spark, sf), STEP)
 
 
+# Profile and score of early.py over every (trend, tick) as if it were a trend of its own with its own clock.
 TICKS = f"""
 , grid AS (SELECT k AS tick, p.now - to_seconds({STEP} * k) AS tick_at FROM p, range(60) r(k)),
-tm0 AS (SELECT m.trend_id, tick, any_value(tick_at) AS tick_at, count(*) FILTER (published_at > tick_at - to_seconds({STEP})) AS m15,
-    count(*) FILTER (published_at > tick_at - to_seconds({2 * STEP})) AS m30, count(*) AS m60, avg(sentiment) AS sentiment,
-    count(DISTINCT author_id) AS authors60, count(DISTINCT source) AS sources60,
-    count(DISTINCT source) FILTER (published_at > tick_at - to_seconds({STEP})) AS sources15
-  FROM m JOIN grid ON published_at <= tick_at AND published_at > tick_at - to_seconds({4 * STEP}) GROUP BY ALL),
-born AS (SELECT trend_id, min(published_at) AS f FROM m GROUP BY 1),
-tm1 AS (SELECT tm0.*, m15 / 15.0 AS velocity, m60 / 60.0 AS velocity60, m15 / 15.0 - m60 / 60.0 AS acceleration, (m15 / 15.0) / (m60 / 60.0) AS ratio,
-    (epoch_us(tick_at) - epoch_us(f)) / 3.6e9 / {SCALE} AS age_hours FROM tm0 JOIN born USING (trend_id)),
-tm2 AS (SELECT *, CASE WHEN ratio >= 2 AND acceleration > 0 THEN 'accel' WHEN acceleration > 0.05 AND ratio >= 1.2 THEN 'rise'
-    WHEN acceleration < -0.05 OR (ratio > 0 AND ratio < 0.5) THEN 'decay' ELSE 'flat' END AS shape FROM tm1),
-tm AS (SELECT *, CASE WHEN age_hours < 2 AND m15 >= 2 AND acceleration > 0 AND sources15 >= 2 THEN 'rising'
-    WHEN velocity > 0.3 AND m60 >= 5 AND shape <> 'decay' THEN 'peaked' WHEN shape = 'decay' OR m15 = 0 THEN 'decaying' ELSE 'forming' END AS phase,
-  floor((0.30 * least(1, velocity / 5) + 0.25 * (CASE WHEN ratio >= 2 THEN 1.0 WHEN ratio >= 1 THEN 0.5 + (ratio - 1) * 0.5
-    WHEN ratio >= 0.5 THEN 0.2 + (ratio - 0.5) * 0.6 ELSE greatest(0, ratio * 0.4) END) + 0.15 * least(1, sources60 / 3)
-    + 0.10 * least(1, authors60 / m60)) / 0.80 * 100 * 100 + 0.5) / 100 AS score FROM tm2)"""
+mt AS (SELECT m.* REPLACE (trend_id || '#' || tick AS trend_id), tick FROM m JOIN grid ON published_at <= tick_at),
+se AS (SELECT trend_id, avg(sentiment) AS sentiment FROM mt JOIN grid USING (tick) WHERE published_at > tick_at - to_seconds({4 * STEP}) GROUP BY 1)""" + profile_sql().replace(
+    "FROM m, p\n", "FROM mt m JOIN (SELECT tick, tick_at AS now FROM grid) g USING (tick)\n") + score_sql() + """,
+tm AS (SELECT sc.* REPLACE (split_part(sc.trend_id, '#', 1) AS trend_id), se.sentiment, grid.tick, tick_at
+  FROM sc JOIN se ON se.trend_id = sc.trend_id JOIN grid ON grid.tick = CAST(split_part(sc.trend_id, '#', 2) AS BIGINT) WHERE m60 > 0)"""
 
 
 # ---- small literal side tables -----------------------------------------------------
