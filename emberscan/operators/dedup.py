@@ -21,6 +21,27 @@ def first_by_key(rows: DataFrame, keys: list[str], order: list[str], keep: list[
     return out.select(*keys, *[F.col(f"f.{c}").alias(c) for c in keep], "copies")
 
 
+def first_within_ttl(rows: DataFrame, keys: list[str], t: str, order: str, ttl_seconds: int = 7 * 86400) -> DataFrame:
+    """Kept rows of every key: the first, and then the first that comes after the mark of the one before has run out.
+
+    A mark is set when a row is kept and is not renewed by repeats. Each round
+    finds the next kept row of all keys at once as a minimum, which combines on
+    the map side; marks are at least a TTL apart, so the clock bounds the rounds.
+    Returns (keys, us, ``order``). Rows without time or with a null key are left out.
+    """
+    us = F.unix_micros(F.col(t).cast("timestamp"))
+    base = rows.where(F.greatest(*[F.col(k).isNull() for k in keys], us.isNull()) == F.lit(False)).select(*keys, us.alias("us"), F.col(order))
+    first = lambda df: df.groupBy(*keys).agg(F.min(F.struct("us", order)).alias("f")).select(*keys, "f.us", f"f.{order}")
+    last = cut(first(base))
+    kept = last
+    while True:
+        ends = last.select(*keys, (F.col("us") + F.lit(ttl_seconds * 1_000_000)).alias("ends"))
+        last = cut(first(base.join(ends, keys).where("us >= ends")))
+        if not last.limit(1).count():
+            return kept
+        kept = kept.unionByName(last)
+
+
 def gap_starts(rows: DataFrame, keys: list[str], t: str, order: str, gap_seconds: int, chunk_seconds: int = 60) -> DataFrame:
     """Rows that open a new run: the previous row of the key is more than ``gap`` back.
 

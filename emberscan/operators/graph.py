@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
-from ..session import cut
+from ..session import cut, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,22 +219,88 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-6
             return label
 
 
+def _qualities(arcs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, q): modularity of a labelling (cluster, id, label) of arcs (cluster, a, b, w) that hold every edge both ways, loops twice."""
+    end = lambda c: labels.select("cluster", F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+    lab = arcs.join(end("a"), ["cluster", "a"]).join(end("b"), ["cluster", "b"])
+    per = lab.groupBy("cluster", F.col("la").alias("label")).agg(F.sum("w").alias("deg"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("inner"))
+    whole = per.groupBy("cluster").agg(F.sum("deg").alias("m2"), F.sum("inner").alias("inner"), F.sum(F.col("deg") * F.col("deg")).alias("squares"))
+    return whole.select("cluster", (F.col("inner") / F.col("m2") - F.col("squares") / (F.col("m2") * F.col("m2"))).alias("q"))
+
+
+def _moved(arcs: DataFrame, degree: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(cluster, id, label, next): half of the nodes, another half each turn, would move to the neighbouring community of the highest gain."""
+    of = labels.select("cluster", F.col("id").alias("b"), "label")
+    to = arcs.where("a <> b").join(of, ["cluster", "b"]).groupBy("cluster", F.col("a").alias("id"), "label").agg(F.sum("w").alias("w"))
+    stay = labels.select("cluster", "id", "label", F.lit(0.0).alias("w"))
+    mine = labels.join(degree, ["cluster", "id"])
+    total = mine.groupBy("cluster", "label").agg(F.sum("k").alias("total"))
+    own = mine.select("cluster", "id", "k", "m2", F.col("label").alias("own"))
+    options = to.unionByName(stay).groupBy("cluster", "id", "label").agg(F.sum("w").alias("w")).join(own, ["cluster", "id"]).join(total, ["cluster", "label"])
+    here = F.col("label") == F.col("own")
+    gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / F.col("m2"), 9)
+    # of equal gains the own community, then the smallest label
+    best = options.withColumn("gain", gain).groupBy("cluster", "id").agg(
+        F.max_by(F.struct("label", "gain"), F.struct("gain", here.cast("int"), -F.col("label"))).alias("to"), F.first("own").alias("own"))
+    turns = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return best.select("cluster", "id", F.col("own").alias("label"), F.when(turns, F.col("to.label")).otherwise(F.col("own")).alias("next"))
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-3, patience: int = 2) -> DataFrame:
+    """Louvain communities inside every cluster: (id, cluster, label), the label being the smallest id of the community.
+
+    ``nodes``: (id, cluster); ``edges``: (cluster, src, dst, w), every edge once,
+    both ends in that cluster. On a level, nodes move to the neighbouring
+    community of the highest modularity gain, half of the nodes at a time; a
+    cluster keeps a turn only if its modularity rose by more than ``tolerance``,
+    and a level ends after ``patience`` turns that raised none. Communities then
+    become the nodes of the next level, until a level changes nothing. All
+    clusters run in the same jobs, and each level is a smaller graph.
+    """
+    e = edges.select("cluster", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").cast("double").alias("w"))
+    arcs = stored(e.union(e.select("cluster", "b", "a", "w")))  # a loop is there twice, as it counts at both ends
+    final = stored(nodes.select("id", "cluster", F.col("id").alias("label")))
+    while True:
+        at = arcs.groupBy("cluster", F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+        degree = stored(at.join(at.groupBy("cluster").agg(F.sum("k").alias("m2")), "cluster"))
+        labels = stored(degree.select("cluster", "id", F.col("id").alias("label")))
+        best, turn, idle, moved = stored(_qualities(arcs, labels)), 0, 0, False
+        while idle < patience:
+            tried = stored(_moved(arcs, degree, labels, turn))
+            new = _qualities(arcs, tried.select("cluster", "id", F.col("next").alias("label"))).withColumnRenamed("q", "new")
+            q = stored(new.join(best, "cluster").withColumn("better", F.col("new") > F.col("q") + tolerance))
+            if q.where("better").limit(1).count():
+                labels = stored(tried.join(q.select("cluster", "better"), "cluster").select("cluster", "id", F.when(F.col("better"), F.col("next")).otherwise(F.col("label")).alias("label")))
+                best, idle, moved = q.select("cluster", F.when(F.col("better"), F.col("new")).otherwise(F.col("q")).alias("q")), 0, True
+            else:
+                idle += 1
+            turn += 1
+        if not moved:
+            small = final.groupBy("cluster", "label").agg(F.min("id").alias("least"))
+            return stored(final.join(small, ["cluster", "label"]).select("id", "cluster", F.col("least").alias("label")))
+        final = stored(final.join(labels.select("cluster", F.col("id").alias("label"), F.col("label").alias("next")), ["cluster", "label"], "left").select(
+            "id", "cluster", F.coalesce("next", "label").alias("label")))
+        end = lambda c: labels.select("cluster", F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+        arcs = stored(arcs.join(end("a"), ["cluster", "a"]).join(end("b"), ["cluster", "b"]).groupBy(
+            "cluster", F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
+
+
 def forks(nodes: DataFrame, edges: DataFrame, limit: float = 0.3) -> DataFrame:
-    """Communities of every cluster and whether it forks.
+    """Louvain communities of every cluster and whether it forks.
 
     ``nodes``: (id, cluster); ``edges``: (cluster, src, dst, w), both ends in that
-    cluster. Returns (id, cluster, modularity, split, version): where the
+    cluster. Returns (id, cluster, label, modularity, split, version): where the
     modularity of a cluster's communities is below ``limit``, the largest
     community keeps version 1 and the others become version 2.
     """
-    label = propagate_labels(nodes.select("id"), edges)
-    q = modularity(edges, label, "cluster")
-    placed = nodes.join(label, "id").join(q, "cluster", "left")
+    label = louvain(nodes, edges)
+    q = modularity(edges, label.select("id", "label"), "cluster")
+    placed = label.join(q, "cluster", "left")
     size = placed.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     main = size.groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
     split = F.coalesce(fork_candidates(F.col("modularity"), limit), F.lit(False))
     return placed.join(main, "cluster").select(
-        "id", "cluster", "modularity", split.alias("split"), F.when(split & (F.col("label") != F.col("main")), 2).otherwise(1).alias("version"))
+        "id", "cluster", "label", "modularity", split.alias("split"), F.when(split & (F.col("label") != F.col("main")), 2).otherwise(1).alias("version"))
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:

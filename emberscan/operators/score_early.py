@@ -145,10 +145,11 @@ def shape(accel: Column, ratio: Column, is_new: Column, history: Column | None =
         .when((accel < -0.05) | (~is_new & (ratio > 0) & (ratio < 0.5)), "decay")
     )
     if history is not None:
-        n = F.size(history)
-        mean = F.aggregate(history, F.lit(0.0), lambda a, x: a + x) / n
-        var = F.aggregate(history, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-        out = out.when((n >= 5) & (F.abs(accel) < 0.05) & (var / (mean * mean + 1) > 0.5), "wobble")
+        # variance / (mean * mean + 1) > 0.5, on sums of whole counts, so that a tie is a tie
+        n, total = F.size(history), F.aggregate(history, F.lit(0.0), lambda a, x: a + x)
+        squares = F.aggregate(history, F.lit(0.0), lambda a, x: a + x * x)
+        swings = 2 * (n * squares - total * total) > total * total + n * n
+        out = out.when((n >= 5) & (F.abs(accel) < 0.05) & swings, "wobble")
     return out.otherwise("flat")
 
 

@@ -151,3 +151,17 @@ def sliding_sum(mentions: DataFrame, minutes: int = 60) -> DataFrame:
     per = mentions.groupBy("trend_id", minute.alias("minute")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("trend_id").orderBy("minute").rangeBetween(-(minutes - 1), 0)
     return per.select("trend_id", "minute", "n", F.sum("n").over(w).alias("sliding"))
+
+
+def recent_counts(mentions: DataFrame, now: datetime, unit_seconds: float, slots: int = 12) -> DataFrame:
+    """(trend_id, history): posts of each of the last ``slots`` units up to ``now``, oldest first, from the trend's first unit on.
+
+    Rows are reduced to (trend, unit) first; a trend holds ``slots`` numbers at most.
+    """
+    back = F.floor(age_seconds(F.col("published_at"), now) / F.lit(float(unit_seconds)))
+    per = mentions.where(F.col("published_at") <= ts(now)).groupBy("trend_id", back.alias("back")).agg(F.count("*").alias("n"))
+    held = per.groupBy("trend_id").agg(
+        F.max("back").alias("first"), F.collect_list(F.when(F.col("back") < slots, F.struct("back", "n"))).alias("c"))
+    counts = F.map_from_entries("c")
+    units = F.sequence(F.least(F.col("first"), F.lit(slots - 1)), F.lit(0).cast("bigint"))
+    return held.select("trend_id", F.transform(units, lambda b: F.coalesce(F.try_element_at(counts, b), F.lit(0)).cast("double")).alias("history"))

@@ -20,6 +20,16 @@ def d1(spark, sf):
         "source", "url", "external_id", fmt(F.col("published_at")).alias("first_seen"), "copies")
 
 
+@query("d1_exact_dedup_ttl", sql("""
+, a AS (SELECT source, url, epoch_us(published_at) AS us, external_id FROM m),
+k AS (SELECT source, url, min(us) AS us FROM a GROUP BY ALL
+  UNION ALL SELECT k.source, k.url, n.us FROM k, LATERAL (SELECT min(us) AS us FROM a WHERE a.source = k.source AND a.url = k.url AND a.us >= k.us + 604800000000) n WHERE n.us IS NOT NULL)
+SELECT k.source, k.url, k.us, min(external_id) AS external_id FROM k JOIN a USING (source, url, us) GROUP BY ALL""").replace("WITH p AS", "WITH RECURSIVE p AS"))
+def d1t(spark, sf):
+    """Keys are forgotten seven days after the row that set them."""
+    return dedup.first_within_ttl(mentions(spark, sf), ["source", "url"], "published_at", "external_id")
+
+
 @query("d2_content_dedup_gap", sql(f"""
 , t AS (SELECT doc_id, sha1({normalise_sql('text')}) AS h FROM documents),
 g AS (SELECT h, external_id, published_at, lag(published_at) OVER (PARTITION BY h ORDER BY published_at) AS prev FROM m JOIN t USING (doc_id))
@@ -269,6 +279,22 @@ def e5(spark, sf):
     return w_rank.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("cosine", F.round("cosine", 6))
 
 
+@query("e5_recent_clusters", """
+WITH e AS (SELECT vec_id, embedding, label, vec_id % 400 AS hour FROM embeddings),
+l AS (SELECT CAST(label AS BIGINT) AS cluster, max(hour) FILTER (vec_id % 3 = 0 AND hour < label * 40) AS last_hour FROM e GROUP BY 1),
+c AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
+a AS (SELECT label, list(x ORDER BY pos) AS c FROM c GROUP BY 1),
+s AS (SELECT vec_id, hour, CAST(a.label AS BIGINT) AS cluster, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) AS s FROM e, a),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cluster) AS rank FROM s WHERE s >= 0.1)
+SELECT vec_id, cluster, round(s, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM r JOIN l USING (cluster) WHERE rank <= 5 AND hour - last_hour <= 168""")
+def e5r(spark, sf):
+    """Of the five nearest clusters those whose last post is at most seven days back. The tables hold no times of vectors: hours are made from ids."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("cluster"), (F.col("vec_id") % 400).alias("hour"))
+    at = F.timestamp_seconds(F.col("hour") * 3600)
+    seen = e.where("vec_id % 3 = 0 and hour < cluster * 40").groupBy("cluster").agg(F.max(at).alias("last_seen"))
+    return vectors.seen_recently(e5(spark, sf), e.select("vec_id", at.alias("published_at")), seen, "vec_id")
+
+
 @query("e6_centroid_drift", """
 WITH r AS (SELECT label, embedding, row_number() OVER w AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
 x AS (SELECT label, CASE WHEN rn = 1 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - rn) END AS w, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM r)

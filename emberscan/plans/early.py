@@ -8,6 +8,7 @@ from .. import params
 from ..functions.times import fmt
 from ..operators import profile as prof
 from ..operators import score_early as early
+from ..operators import series
 from .registry import query
 from .views import SCALE, TRAILING, mentions, now_of, sql
 
@@ -282,6 +283,25 @@ def g5(spark, sf):
     return scored(spark, sf).select("trend_id", "shape", "phase", F.round("acceleration", 6).alias("acceleration"))
 
 
+def _by_author(spark, sf):
+    """Mentions with each author of a source as a trend: few posts, in bursts."""
+    return mentions(spark, sf).withColumn("trend_id", F.concat_ws("/", "source", F.col("author_id").cast("string")))
+
+
+@query("g5_shape_with_history", sql(", mk AS (SELECT * REPLACE (source || '/' || author_id AS trend_id) FROM m)" + profile_sql().replace("FROM m, p", "FROM mk m, p") + score_sql() + f"""
+, b AS (SELECT trend_id, CAST(floor((epoch_us(now) - epoch_us(published_at)) / {SCALE * 9e8}) AS BIGINT) AS back FROM mk, p),
+u AS (SELECT trend_id, unnest(range(0, least(max(back), 11) + 1)) AS back FROM b GROUP BY 1),
+h AS (SELECT u.trend_id, u.back, count(b.back) AS n FROM u LEFT JOIN b ON b.trend_id = u.trend_id AND b.back = u.back GROUP BY ALL),
+v AS (SELECT trend_id, count(*) AS k, sum(n) AS s, sum(n * n) AS q FROM h GROUP BY 1)
+SELECT trend_id, CASE WHEN shape = 'flat' AND k >= 5 AND abs(acceleration) < 0.05 AND 2 * (k * q - s * s) > s * s + k * k THEN 'wobble' ELSE shape END AS shape, phase
+FROM sc JOIN v USING (trend_id)"""))
+def g5h(spark, sf):
+    """Shapes with the counts of the last twelve short windows, so that a swinging trend wobbles."""
+    m, now = _by_author(spark, sf), now_of(spark, sf)
+    rows = prof.trend_profile(m, now, TRAILING).join(series.recent_counts(m, now, SCALE * 900), "trend_id")
+    return early.early_score(rows, history="history").select("trend_id", "shape", "phase")
+
+
 @query("g7_penalties", sql(TRENDS + """
 SELECT trend_id, round(CAST(least(1, p_spam + CASE WHEN unique_authors / mentions < 0.4 THEN 0.3 ELSE 0 END
     + CASE WHEN older / mentions > 0.3 THEN 0.3 ELSE 0 END) AS DOUBLE), 2) AS penalty_authors,

@@ -173,11 +173,50 @@ def t9(spark, sf):
     return in_landings(d, 3, "id", run)
 
 
-@query("t10_stream_event_log", sql("""
-SELECT external_id, CAST(floor(epoch_us(published_at) / 1000) AS BIGINT) AS ts_ms FROM m"""))
+#: Events as the log's query and its twins see them: three landings in order of time.
+_LOG = """
+, e AS (SELECT external_id, source AS type, epoch_us(published_at) - epoch_us(published_at) % 60000000 AS us FROM m),
+s AS (SELECT min(us) AS lo, (max(us) - min(us) + 1) / 3.0 AS step FROM e),
+lg AS (SELECT external_id, type, us // 1000 AS ts_ms, row_number() OVER (PARTITION BY us ORDER BY external_id) AS seq FROM e)"""
+
+
+def _log_events(spark, sf):
+    """Mentions as events; times are cut to the minute, so that events share milliseconds."""
+    minute = F.unix_micros(F.col("published_at").cast("timestamp"))
+    minute = minute - minute % 60_000_000
+    return mentions(spark, sf).select(F.timestamp_micros(minute).alias("ts"), "external_id", F.col("source").alias("type"), minute.alias("us"))
+
+
+def _log(spark, sf):
+    return in_landings(_log_events(spark, sf), 3, "us", to_table(spark, timers.numbered_events))
+
+
+@query("t10_stream_event_log", sql(_LOG + "SELECT external_id, type, ts_ms, seq, ts_ms || '-' || seq AS event_id FROM lg"))
 def t10(spark, sf):
-    s = stream(spark, sf).select("external_id", F.unix_millis("published_at").alias("ts_ms"))
-    return ingest.run_to_table(ev.filter_events(s))
+    """The event log over three landings, with its ids."""
+    return _log(spark, sf)
+
+
+@query("t10_replay_written_log", sql(_LOG + """
+, tail AS (SELECT * FROM lg ORDER BY ts_ms DESC, seq DESC LIMIT 1000),
+l AS (SELECT ts_ms, seq FROM tail ORDER BY ts_ms DESC, seq DESC LIMIT 1 OFFSET 300)
+SELECT t.external_id, t.ts_ms || '-' || t.seq AS event_id, false AS needs_resync FROM tail t, l WHERE (t.ts_ms, t.seq) > (l.ts_ms, l.seq)"""))
+def t10r(spark, sf):
+    """A reader who has seen all but the last 300 events comes back and reads on from the written log."""
+    log = _log(spark, sf)
+    last = log.orderBy(F.desc("ts_ms"), F.desc("seq")).offset(300).limit(1).first()
+    return ev.replay(log, last.ts_ms, last.seq).select("external_id", "event_id", "needs_resync")
+
+
+@query("t10_stream_rate", sql(_LOG + """
+, w AS (SELECT max(us) // 1000 - 3600000 AS w FROM e),
+g AS (SELECT unnest(range(us // 1000 - us // 1000 % 21600000 - 64800000, us // 1000 + 1, 21600000)) AS start_ms, us FROM e)
+SELECT start_ms, start_ms + 86400000 AS end_ms, count(*) AS events, round(count(*) / 86400.0, 9) AS per_second FROM g, w
+WHERE us // 1000 >= start_ms AND us // 1000 < start_ms + 86400000 AND start_ms + 86400000 <= w.w GROUP BY ALL"""))
+def t10s(spark, sf):
+    """Events per second in sliding windows of a day, every six hours, given out as the watermark passes them."""
+    out = in_landings(_log_events(spark, sf), 3, "us", to_table(spark, lambda s: timers.event_rate(s, "1 day", "6 hours")))
+    return out.withColumn("per_second", F.round("per_second", 9))
 
 
 @query("t13_stream_life_cycle", sql("""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -73,3 +74,15 @@ def cut(df):
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df):
+    """``df`` as a Parquet table in the shared folder.
+
+    Unlike a checkpoint it forgets the size estimate of the plan behind it.
+    Estimates of joins are products, so in a loop of joins over checkpoints
+    they grow to numbers that take longer to multiply than the job to run.
+    """
+    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

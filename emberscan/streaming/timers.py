@@ -211,3 +211,48 @@ def pickup(mentions: DataFrame, first: str, then: str, within_seconds: int = 360
     pairs = asked.join(answer, (F.col("trend_id") == F.col("of")) & (F.col("answered_at") >= F.col("asked_at")) & (F.col("answered_at") <= F.col("asked_at") + span))
     lag = F.unix_micros("answered_at") - F.unix_micros("asked_at")
     return pairs.groupBy("trend_id", "external_id", F.window("asked_at", "1 minute")).agg(F.min(lag).alias("lag_us")).select("trend_id", "external_id", "lag_us")
+
+
+class _Numbers(StatefulProcessor):
+    """How many events of a millisecond have been numbered; forgotten once the watermark has passed it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        new = pd.concat(list(rows)).sort_values(["external_id", "type"])  # events of one millisecond within one trigger
+        seq = np.arange(n + 1, n + len(new) + 1)
+        self.count.update((n + len(new),))
+        self.handle.registerTimer(int(key[0]))
+        yield pd.DataFrame({"ts_ms": int(key[0]), "seq": seq, "event_id": [f"{key[0]}-{i}" for i in seq], "external_id": new["external_id"].to_numpy(), "type": new["type"].to_numpy()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.count.clear()
+        yield pd.DataFrame(columns=["ts_ms", "seq", "event_id", "external_id", "type"])
+
+    def close(self) -> None:
+        pass
+
+
+def numbered_events(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Event log entries with their id ``ms-seq``, numbered as they arrive; append mode.
+
+    ``events``: (ts, external_id, type). Within a trigger the events of a
+    millisecond are numbered by external_id and type. A number is never given
+    twice for a millisecond that the watermark has not passed; later events of
+    one that it has passed are late and left out.
+    """
+    timed = events.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    return timed.withColumn("ts_ms", F.unix_millis("ts")).groupBy("ts_ms").transformWithStateInPandas(
+        _Numbers(), outputStructType="ts_ms bigint, seq bigint, event_id string, external_id bigint, type string", outputMode="Append", timeMode="EventTime")
+
+
+def event_rate(events: DataFrame, width: str = "1 second", step: str | None = None, lateness: str = "1 hour") -> DataFrame:
+    """Heartbeat counters: events of every window that had any, and per second; append mode."""
+    timed = events.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    w = F.window("ts", width, step or width)
+    per = timed.groupBy(w).agg(F.count("*").alias("events"))
+    seconds = (F.unix_micros("window.end") - F.unix_micros("window.start")) / F.lit(1e6)
+    return per.select(F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "events", (F.col("events") / seconds).alias("per_second"))
