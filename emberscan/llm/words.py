@@ -49,18 +49,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _reduced(x: np.ndarray, prime: int, short: int) -> np.ndarray:
-    """Residues of values of up to 62 bits, without division."""
-    x = (x & 0x7FFFFFFF) + short * (x >> 31)
+def _folded(x: np.ndarray, short: int) -> np.ndarray:
+    """Numbers of little more than 31 bits that are congruent to ``x``, of up to 62 bits, without division."""
     x = (x & 0x7FFFFFFF) + short * (x >> 31)
+    return (x & 0x7FFFFFFF) + short * (x >> 31)
+
+
+def _reduced(x: np.ndarray, prime: int, short: int) -> np.ndarray:
+    x = _folded(x, short)
     return np.where(x >= prime, x - prime, x)
 
 
 def _power_table(base: int, size: int, prime: int, short: int) -> np.ndarray:
-    p = np.ones(1, np.int64)
+    p = np.ones(1, np.uint32)
     while len(p) < size:
-        p = np.append(p, _reduced(p * pow(base, len(p), prime), prime, short))
-    return p[:size]
+        more = p[:size - len(p)].astype(np.int64) * pow(base, len(p), prime)
+        p = np.append(p, _reduced(more, prime, short).astype(np.uint32))
+    return p
 
 
 def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -77,13 +82,18 @@ def segment_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     Two polynomials, one over the low and one over the high 31 bits of the
     values, each modulo its own prime: unlike powers of two, these leave no
     pattern of values (such as the Thue-Morse sequence and its complement)
-    whose terms cancel whatever the base.
+    whose terms cancel whatever the base. Prefix sums are made a block of
+    values at a time, so a long text needs one array of sums and little more.
     """
     h = np.zeros(len(start), np.uint64)
+    total = np.zeros(len(values) + 1, np.int64)
     for (prime, short, _), (up, down), low in zip(_FIELDS, powers(len(values) + 1), (0, 33)):
-        x = ((values >> np.uint64(low)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-        total = np.zeros(len(values) + 1, np.int64)
-        np.cumsum(_reduced(x * up[:len(values)], prime, short), out=total[1:])  # below 2**62 for two thousand million values
+        for at in range(0, len(values), 1 << 15):
+            x = ((values[at:at + (1 << 15)] >> np.uint64(low)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+            x *= up[at:at + len(x)]
+            x = _folded(x, short)
+            x[0] += total[at]
+            np.cumsum(x, out=total[at + 1:at + 1 + len(x)])  # below 2**62 for two thousand million values
         mine = _reduced(_reduced(total[end] - total[start], prime, short) * down[start], prime, short)
         h = (h << np.uint64(32)) | mine.astype(np.uint64)
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
