@@ -16,7 +16,7 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
-from .words import mix, segment_hash
+from .words import run_hash
 
 #: Pieces a worker remembers (a power of two): some 100 MB.
 CACHE = 1 << 21
@@ -199,7 +199,7 @@ class Encoder:
         if hard.any():
             easy = ~hard[doc]
             s, e, doc = s[easy], e[easy], doc[easy]
-        keys, first, back = np.unique(segment_hash(mix(cp.astype(np.uint64)), s, e), return_index=True, return_inverse=True)
+        keys, first, back = np.unique(run_hash(cp.astype(np.uint32, copy=False), s, e), return_index=True, return_inverse=True)
         keys = np.maximum(keys, np.uint64(1))
         if len(keys) > CACHE:
             return self._whole(texts)

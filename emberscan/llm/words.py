@@ -1,13 +1,14 @@
 """Words, lines and hashes of whole texts, computed on Arrow string buffers with numpy.
 
 A word is a maximal run of bytes outside a separator set that is plain ASCII,
-so words of UTF-8 text can be found byte by byte. Hashes are polynomials over
-prefix sums modulo two primes with a final mix: equal byte runs have equal
-hashes on every machine and in every batch.
+so words of UTF-8 text can be found byte by byte. Hashes depend on nothing but
+the bytes of a run: equal runs have equal hashes on every machine and in every
+batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that are turned into arrays at once; a longer document is handled alone.
 PIECE_BYTES = 1 << 19
 
-#: Two primes below 2**31, each 2**31 less the second number, and the base of its polynomial.
-_FIELDS = ((2147483647, 1, 1_073_676_287), (2147483629, 19, 998_244_353))
-_BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+#: Flags of the first 0 to 8 bytes of a 64-bit number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Bytes of a word that are mixed eight at a time; a longer word is hashed alone.
+_SHORT = 256
 
 
 def separators(*spans: tuple[int, int]) -> np.ndarray:
@@ -49,54 +51,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _folded(x: np.ndarray, short: int) -> np.ndarray:
-    """Numbers of little more than 31 bits that are congruent to ``x``, of up to 62 bits, without division."""
-    x = (x & 0x7FFFFFFF) + short * (x >> 31)
-    return (x & 0x7FFFFFFF) + short * (x >> 31)
+def run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``values[start:end]``, bytes or 32-bit numbers, for every pair.
 
-
-def _reduced(x: np.ndarray, prime: int, short: int) -> np.ndarray:
-    x = _folded(x, short)
-    return np.where(x >= prime, x - prime, x)
-
-
-def _power_table(base: int, size: int, prime: int, short: int) -> np.ndarray:
-    p = np.ones(1, np.uint32)
-    while len(p) < size:
-        more = p[:size - len(p)].astype(np.int64) * pow(base, len(p), prime)
-        p = np.append(p, _reduced(more, prime, short).astype(np.uint32))
-    return p
-
-
-def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers 0..n of each base and of its inverse modulo its prime, kept between calls."""
-    if not _powers or len(_powers[0][0]) <= n:
-        size = max(n + 1, PIECE_BYTES + 2)
-        _powers[:] = [tuple(_power_table(b, size, prime, short) for b in (base, pow(base, -1, prime))) for prime, short, base in _FIELDS]
-    return _powers
+    Eight bytes are mixed in at a time. The mix is a bijection and not linear,
+    so runs of one length of up to eight bytes never collide, and no pattern of
+    letters makes longer ones collide whatever the constants.
+    """
+    wide = values.itemsize
+    per = 8 // wide
+    padded = np.append(values, np.zeros(per, values.dtype))
+    eight = np.ndarray(len(values) + 1, "<u8", padded, strides=(wide,))
+    size = end - start
+    h = mix(size.astype(np.uint64) * _A + _C)
+    alone = size * wide > _SHORT
+    at = np.flatnonzero((size > 0) & ~alone)
+    pos, left = start[at], size[at]
+    while len(at):
+        h[at] = mix(h[at] ^ (eight[pos] & _FIRST[np.minimum(left, per) * wide]))
+        more = left > per
+        at, pos, left = at[more], pos[more] + per, left[more] - per
+    view = memoryview(padded).cast("B")
+    for i in np.flatnonzero(alone):
+        h[i] = int.from_bytes(hashlib.blake2b(view[int(start[i]) * wide:int(end[i]) * wide], digest_size=8).digest(), "little")
+    return h
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in their order."""
+    x = b >> np.uint64(29)
+    x ^= b
+    x *= _A
+    x += a * _B
+    x ^= x >> np.uint64(32)
+    x *= _C
+    return x
+
+
+def _pairs(v: np.ndarray, apart: int) -> np.ndarray:
+    """``_pair`` of all values that stand ``apart``, a block that stays in cache at a time."""
+    n = len(v) - apart
+    out = np.empty(max(n, 0), np.uint64)
+    for at in range(0, n, 1 << 14):
+        to = min(at + (1 << 14), n)
+        out[at:to] = _pair(v[at:to], v[at + apart:to + apart])
+    return out
 
 
 def segment_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every pair, independent of where the run stands.
+    """Hash of the hashes ``values[start:end]`` for every pair, independent of where the run stands.
 
-    Two polynomials, one over the low and one over the high 31 bits of the
-    values, each modulo its own prime: unlike powers of two, these leave no
-    pattern of values (such as the Thue-Morse sequence and its complement)
-    whose terms cancel whatever the base. Prefix sums are made a block of
-    values at a time, so a long text needs one array of sums and little more.
+    Runs of 1, 2, 4, ... values are hashed by pairs of shorter ones; a run is
+    put together from those that its length is the sum of, so runs of one
+    length meet in the same way everywhere. Each step ends in a mix that is not
+    linear: there is no pattern (such as the Thue-Morse sequence and its
+    complement) whose terms cancel.
     """
-    h = np.zeros(len(start), np.uint64)
-    total = np.zeros(len(values) + 1, np.int64)
-    for (prime, short, _), (up, down), low in zip(_FIELDS, powers(len(values) + 1), (0, 33)):
-        for at in range(0, len(values), 1 << 15):
-            x = ((values[at:at + (1 << 15)] >> np.uint64(low)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-            x *= up[at:at + len(x)]
-            x = _folded(x, short)
-            x[0] += total[at]
-            np.cumsum(x, out=total[at + 1:at + 1 + len(x)])  # below 2**62 for two thousand million values
-        mine = _reduced(_reduced(total[end] - total[start], prime, short) * down[start], prime, short)
-        h = (h << np.uint64(32)) | mine.astype(np.uint64)
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = end - start
+    h, at, doubled, k = np.zeros(len(size), np.uint64), start, values, 0
+    longest = int(size.max()) if len(size) else 0
+    alike = longest == (int(size.min()) if len(size) else 0)
+    while longest >> k:
+        mine = slice(None) if alike else np.flatnonzero(size >> k & 1)
+        if not alike or longest >> k & 1:
+            run = doubled[at[mine]]
+            lower = size[mine] & ((1 << k) - 1) > 0  # a part of the run is hashed already
+            h[mine] = np.where(lower, _pair(h[mine], run), run) if lower.any() else run
+            at = at + (size & (1 << k))
+        if longest >> (k + 1):
+            doubled = _pairs(doubled, 1 << k)
+        k += 1
+    return mix(h + size.astype(np.uint64) * _A)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +176,7 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return segment_hash(_BYTE[self.data], self.start, self.end)
+        return run_hash(self.data, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         """Row of every word."""
