@@ -96,7 +96,7 @@ def merge_pairs(checks: DataFrame, min_cosine: float = 0.85) -> DataFrame:
     the same pair of the check before.
     """
     c = checks.select("check_no", "id", F.col("centroid").alias("vec"))
-    n = vectors.nearest(c, c, None, min_cosine, earlier_only=True, cells=16, within="check_no", keep_within=True)
+    n = vectors.nearest(c, c, None, min_cosine, earlier_only=True, within="check_no", keep_within=True)
     close = cut(n.select(F.col("within").cast(checks.schema["check_no"].dataType).alias("check_no"), F.col("neighbour").alias("a"), F.col("id").alias("b")))
     before = close.select((F.col("check_no") + 1).cast(checks.schema["check_no"].dataType).alias("check_no"), "a", "b")
     run = close.join(before, ["check_no", "a", "b"], "left_semi")
