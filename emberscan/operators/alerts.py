@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import rules_for_trends
+from ..session import cut
 
 RULE_SCHEMA = ("rule_id string, trend_id string, condition string, threshold double, threshold_max double, phase string, "
                "cooldown_sec bigint, armed boolean, severity string, user_id bigint")
@@ -39,9 +39,60 @@ def with_previous(metrics: DataFrame, key: str = "trend_id", t: str = "at") -> D
     return prev.withColumn("delta_pct", 100 * (F.col("m60") - p) / F.nullif(p, F.lit(0.0)))
 
 
-def hits(rules: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Armed rules whose condition holds, before any cooldown."""
-    return rules_for_trends(rules.where("armed"), with_previous(metrics)).where(condition(F.col("condition")))
+#: Blocks of the rule index at most: their bounds ride with every task as one row a condition.
+MAX_BLOCKS = 4096
+
+
+def _measures() -> Column:
+    """(condition, value) of a metrics row for every condition that compares a value; NULL where it cannot fire."""
+    yes = lambda holds: F.when(holds, 1.0)
+    of = {
+        "score_gt": F.col("score"), "velocity_gt": F.col("velocity"), "mentions_gt": F.col("m60"), "mentions_lt": -F.col("m60"), "delta_pct_gt": F.col("delta_pct"),
+        "between": F.col("score"), "source_count": F.col("sources60"), "sentiment": F.abs(F.col("sentiment") - F.col("prev_sentiment")) * 100,
+        "phase_change": yes(F.col("prev_phase") != F.col("phase")), "source_breakout": yes(F.col("sources60") > F.col("prev_sources60"))}
+    return F.array(*[F.struct(F.lit(k).alias("condition"), v.cast("double").alias("value")) for k, v in of.items()])
+
+
+def rule_index(rules: DataFrame, block: int = 1000) -> DataFrame:
+    """Rules without a trend that compare a value, in blocks sorted by (condition, least value that may fire).
+
+    Every rule becomes an interval ``lo`` to ``hi`` of values outside of which it
+    cannot fire; NaN, which sorts last, is the open end. A block is one range
+    partition of that order, written once so that its number stays.
+    """
+    x, hi, kind = F.col("threshold"), F.col("threshold_max"), F.col("condition")
+    top = F.lit(float("nan"))
+    flag = kind.isin("phase_change", "source_breakout")
+    lo = F.when(flag, 1.0).when(kind == "mentions_lt", F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(-x)).otherwise(x)
+    up = F.when(flag, 1.0).when(kind == "between", hi).otherwise(top)
+    held = rules.where(F.col("trend_id").isNull() & (kind != "phase_is")).withColumns({"lo": lo, "hi": up}).where("lo is not null and hi is not null")
+    blocks = min(MAX_BLOCKS, held.count() // block + 1)
+    return cut(held.repartitionByRange(blocks, "condition", "lo", "rule_id").withColumn("block", F.spark_partition_id()))
+
+
+def hits(rules: DataFrame, metrics: DataFrame, block: int = 1000) -> DataFrame:
+    """Armed rules whose condition holds, before any cooldown.
+
+    Rules of a trend are an equi-join, as are global rules on a phase. Other
+    global rules stand in ``rule_index``: a row looks its values up among the
+    bounds of the blocks and joins only blocks in which a rule may fire, so the
+    work follows what fires and not rows times rules. No threshold, no hit.
+    """
+    rows = with_previous(metrics)
+    armed = rules.where("armed").withColumnRenamed("phase", "rule_phase")
+    own = armed.where("trend_id is not null").join(rows, "trend_id")
+    every = armed.where("trend_id is null").drop("trend_id")
+    phased = every.where("condition = 'phase_is'").join(rows, F.col("rule_phase") == F.col("phase"))
+    index = rule_index(armed, block)
+    bounds = index.groupBy("condition", "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("condition").agg(
+        F.collect_list(F.struct("block", "lo", "hi")).alias("bounds"))  # at most MAX_BLOCKS and one for each condition
+    asked = rows.withColumn("_m", F.explode(_measures())).where("_m.value is not null")
+    met = asked.join(F.broadcast(bounds.withColumnRenamed("condition", "_kind")), F.col("_m.condition") == F.col("_kind"))
+    v = F.col("_m.value")
+    routed = met.withColumn("block", F.explode(F.transform(F.filter("bounds", lambda b: (b["lo"] <= v) & (v <= b["hi"])), lambda b: b["block"])))
+    ranged = routed.drop("bounds", "_m").join(index.drop("trend_id", "lo", "hi"), (F.col("condition") == F.col("_kind")) & (index["block"] == routed["block"]))
+    found = own.unionByName(phased.select(own.columns)).unionByName(ranged.select(own.columns))
+    return found.where(condition(F.col("condition")))
 
 
 def _fires(hits: pa.Table) -> pa.Table:

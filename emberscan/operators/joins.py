@@ -11,17 +11,21 @@ def with_saved(trends: DataFrame, saved: DataFrame) -> DataFrame:
     return saved.join(trends, "trend_id", "left").orderBy(F.desc("pinned"), F.desc("created_at"), "trend_id")
 
 
-def rules_for_trends(rules: DataFrame, trends: DataFrame) -> DataFrame:
+def rules_for_trends(rules: DataFrame, trends: DataFrame, block: int = 1000) -> DataFrame:
     """Each rule with the trends it watches; a rule without a trend watches all.
 
-    Own rules are an equi-join. Only the global rules, a handful written by
-    people, meet every trend, and they ride along as a nested-loop side that
-    Spark broadcasts by its size.
+    Own rules are an equi-join. Global rules are dealt into blocks of about
+    ``block`` and trends meet them block by block, an equi-join too, so neither
+    side has to fit in a task whatever their numbers. Which rules can fire at all
+    is the business of ``alerts.hits``, which does not form these pairs.
     """
     rules = rules.withColumnRenamed("phase", "rule_phase")
     own = rules.where("trend_id is not null").join(trends, "trend_id")
-    every = trends.join(rules.where("trend_id is null").drop("trend_id"), F.col("rule_id").isNotNull())
-    return own.unionByName(every.select(own.columns))
+    every = rules.where("trend_id is null").drop("trend_id")
+    blocks = every.count() // block + 1
+    dealt = every.withColumn("_block", F.pmod(F.xxhash64("rule_id"), F.lit(blocks)))
+    spread = trends.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return own.unionByName(spread.join(dealt, "_block").select(own.columns))
 
 
 def mark_followed(trends: DataFrame, follows: DataFrame) -> DataFrame:

@@ -273,13 +273,15 @@ def s14(spark, sf):
 @query("k1_snapshot_upsert", sql("""
 SELECT trend_id, author_id, count(*) AS version, max(external_id) AS last_id FROM m GROUP BY ALL"""))
 def k1(spark, sf):
-    """Three batches of (trend, author) states upserted one after the other."""
-    m, path = mentions(spark, sf), scratch(spark)
-    for upto in (0.3, 0.6, 1.0):
+    """Three batches of (trend, author) states, the second folded into a base; the third stays a delta merged on reading."""
+    m, snap = mentions(spark, sf), sinks.Snapshot(spark, scratch(spark), "key", "version")
+    for no, upto in enumerate((0.3, 0.6, 1.0)):
         part = m.where(I() <= m.agg((F.max("external_id") * upto).alias("x")).scalar())
         state = part.groupBy("trend_id", "author_id").agg(F.count("*").alias("version"), F.max("external_id").alias("last_id"))
-        sinks.upsert_snapshot(spark, path, state.withColumn("key", F.concat_ws("/", "trend_id", F.col("author_id").cast("string"))), "key", "version")
-    return spark.read.parquet(path).select("trend_id", "author_id", "version", "last_id")
+        snap.upsert(state.withColumn("key", F.concat_ws("/", "trend_id", F.col("author_id").cast("string"))), no)
+        if no == 1:
+            snap.compact()
+    return snap.read().select("trend_id", "author_id", "version", "last_id")
 
 
 LOG_SQL = """
