@@ -44,6 +44,18 @@ def entropy(total: Column, sum_xlog2x: Column, classes: Column) -> Column:
     return h / F.log2(classes.cast("double"))
 
 
+def ordered_mean(counted: Column, field: str) -> Column:
+    """Mean of ``field`` over ARRAY<STRUCT<..., n>>, every struct ``n`` times; null values do not count.
+
+    Values are added one after another in sorted order. A plain average adds up
+    the sums of partitions, whose last bit depends on how rows lie in files, and
+    a threshold on the mean of equal values turns on that bit.
+    """
+    rows = F.array_sort(F.filter(counted, lambda r: r[field].isNotNull()))
+    total = F.aggregate(rows, F.lit(0.0), lambda s, r: F.aggregate(F.sequence(F.lit(1).cast("bigint"), r["n"]), s, lambda t, _: t + r[field]))
+    return total / F.nullif(F.aggregate(rows, F.lit(0).cast("bigint"), lambda s, r: s + r["n"]), F.lit(0).cast("bigint"))
+
+
 def fixed1(x: Column) -> Column:
     """Non-negative ``x`` with one decimal as text, rounded on its exact binary value.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as tx
-from ..functions.numeric import entropy, xlog2x
+from ..functions.numeric import entropy, ordered_mean, xlog2x
 from ..functions.times import fmt, micros, ts
 from ..operators import alerts, graph, joins, profile as prof, reports, score_early as early, search, series, tables, trust, views
 from .derived import RULES_SQL, SAVED_SQL, STEP, TICKS, TREND_ROWS, posts_full, rules, saved, ticks
@@ -486,7 +486,9 @@ def presence(spark, sf):
     """Stories of one author in one trend, with news feeds standing in for the news database."""
     m = mentions(spark, sf).withColumn("story", F.concat_ws("-", F.col("author_id").cast("string"), "trend_id"))
     s = lambda *n: F.bool_or(F.col("source").isin(*n))
-    p = m.groupBy("story").agg(s("x").alias("has_x"), s("gdelt", "rss").alias("has_gdelt"), s("reddit").alias("has_reddit"), s("hn").alias("has_hn"), F.avg("bot_score").alias("trash"))
+    has = {"has_x": ["x"], "has_gdelt": ["gdelt", "rss"], "has_reddit": ["reddit"], "has_hn": ["hn"]}
+    per = m.groupBy("story", "bot_score").agg(*[s(*n).alias(c) for c, n in has.items()], F.count("*").alias("n"))
+    p = per.groupBy("story").agg(*[F.bool_or(c).alias(c) for c in has], F.collect_list(F.struct("bot_score", "n")).alias("l")).withColumn("trash", ordered_mean(F.col("l"), "bot_score"))
     c = F.col
     return p.withColumn("l", trust.legitimacy(c("has_x"), c("has_gdelt"), c("has_reddit"), c("has_hn"), c("trash"))).select("*", F.col("l.class").alias("class"), F.col("l.confidence").alias("confidence"))
 
@@ -509,8 +511,10 @@ UNION ALL SELECT 'political', story FROM v WHERE trash > 0.5"""
 
 @query("p20_role_presets", sql(ROLE_SQL))
 def p20(spark, sf):
-    q = mentions(spark, sf).groupBy(F.concat_ws("-", F.col("author_id").cast("string"), "trend_id").alias("story")).agg(
-        F.avg("author_quality").alias("origin_quality"), F.count("*").alias("n"), F.avg(1 - F.col("bot_score")).alias("authenticity"))
+    m = mentions(spark, sf).withColumn("story", F.concat_ws("-", F.col("author_id").cast("string"), "trend_id"))
+    per = m.withColumn("auth", 1 - F.col("bot_score")).groupBy("story", "author_quality", "auth").agg(F.count("*").alias("n"))
+    q = per.groupBy("story").agg(F.sum("n").alias("n"), F.collect_list(F.struct("author_quality", "n")).alias("q"), F.collect_list(F.struct("auth", "n")).alias("a")).select(
+        "story", "n", ordered_mean(F.col("q"), "author_quality").alias("origin_quality"), ordered_mean(F.col("a"), "auth").alias("authenticity"))
     v = presence(spark, sf).join(q, "story").withColumns({
         "phase": F.when(F.col("n") < 8, "forming").otherwise("peaked"), "delta_v": F.col("n") / 10.0, "baseline": F.lit(0.25), "legitimacy": F.col("class")})
     out = None
