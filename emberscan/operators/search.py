@@ -51,6 +51,10 @@ def contains_all(docs: DataFrame, id_col: str, text: str, terms: list[str]) -> D
     return docs.where(F.size(F.array_except(F.array(*[F.lit(t.lower()) for t in terms]), w)) == 0).select(id_col)
 
 
+#: Trigrams of all needles that may ride with every task.
+FEW_GRAMS = 200_000
+
+
 def trigrams(text: Column) -> Column:
     padded = F.concat(F.lit("  "), F.lower(F.trim(text)), F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3)))
@@ -60,10 +64,13 @@ def fuzzy(names: DataFrame, id_col: str, name: str, needles: DataFrame, min_simi
     """Names similar to a needle by the Jaccard of their letter trigrams.
 
     ``needles``: (needle_id, needle). Similar names share a trigram, so the join
-    is on trigrams and the overlap is the number of joined rows.
+    is on trigrams and the overlap is the number of joined rows. The exploded
+    names look small to the planner and are never to be sent whole to every
+    task: needles are sent if they are few, else both sides are shuffled.
     """
     a = names.select(id_col, trigrams(F.col(name)).alias("t")).select(id_col, F.size("t").alias("na"), F.explode("t").alias("g"))
     b = needles.select("needle_id", trigrams(F.col("needle")).alias("t")).select("needle_id", F.size("t").alias("nb"), F.explode("t").alias("g"))
-    j = a.join(b, "g").groupBy(id_col, "needle_id", "na", "nb").agg(F.count("*").alias("c"))
+    few = b.limit(FEW_GRAMS + 1).count() <= FEW_GRAMS
+    j = (a.join(F.broadcast(b), "g") if few else a.hint("merge").join(b, "g")).groupBy(id_col, "needle_id", "na", "nb").agg(F.count("*").alias("c"))
     s = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
     return j.select(id_col, "needle_id", s.alias("similarity")).where(F.col("similarity") >= min_similarity)
