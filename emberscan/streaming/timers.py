@@ -196,21 +196,70 @@ def life_cycle(mentions: DataFrame, key: str = "trend_id", archive_hours: int =
         _Life(archive_hours * HOUR_US, renew_hours * HOUR_US), outputStructType=LIFE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
-def pickup(mentions: DataFrame, first: str, then: str, within_seconds: int = 3600, lateness: str = "1 hour") -> DataFrame:
-    """Stream-stream interval join: each post of ``first`` with the lag to its earliest answer by ``then`` on its trend; append mode.
+class _Answers(StatefulProcessor):
+    """Posts of one trend whose interval begins in one slot of time, and the answers that can fall into it.
+
+    Nothing is paired before the watermark has passed the last interval of the
+    slot; then one sort finds the earliest answer of every post.
+    """
 
-    Both sides are held as long as the interval and the lateness, no longer. A
-    post is given out once the watermark has passed its interval. Rows without
-    time, trend or source are left out.
+    def __init__(self, span_us: int):
+        self.span_us = span_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.posts = handle.getListState("posts", "external_id array<bigint>, us array<bigint>")
+        self.answers = handle.getListState("answers", "us array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            asked = pdf[pdf["asks"]]
+            if len(asked):
+                self.posts.appendValue((asked["external_id"].tolist(), asked["us"].tolist()))
+            if len(asked) < len(pdf):
+                self.answers.appendValue((np.unique(pdf.loc[~pdf["asks"], "us"].to_numpy(np.int64)).tolist(),))
+        self.handle.registerTimer((int(key[1]) + 2) * self.span_us // 1000)
+        yield pd.DataFrame(columns=["trend_id", "external_id", "lag_us"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        posts, answers = list(self.posts.get()), list(self.answers.get())
+        self.posts.clear()
+        self.answers.clear()
+        out = pd.DataFrame(columns=["trend_id", "external_id", "lag_us"])
+        if posts and answers:
+            ids, us = (np.concatenate([np.asarray(p[i], dtype=np.int64) for p in posts]) for i in (0, 1))
+            times = np.unique(np.concatenate([np.asarray(a[0], dtype=np.int64) for a in answers]))
+            at = np.searchsorted(times, us)
+            lag = np.where(at < len(times), times[np.minimum(at, len(times) - 1)] - us, self.span_us + 1)
+            best = pd.DataFrame({"external_id": ids, "lag_us": lag})[lag <= self.span_us].groupby("external_id", as_index=False).min()
+            out = best.assign(trend_id=key[0])[["trend_id", "external_id", "lag_us"]]
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def pickup(mentions: DataFrame, first: str, then: str, within_seconds: int = 3600, lateness: str = "1 hour") -> DataFrame:
+    """Each post of ``first`` with the lag to its earliest answer by ``then`` on its trend within the interval; append mode.
+
+    A busy trend has very many pairs within an interval, so none are listed:
+    time is cut into slots as long as the interval, a post belongs to its own
+    slot and an answer to its own and the one before. A slot is held until the
+    watermark has passed its last interval, and then given out and forgotten.
+    Rows without time, trend or source are left out; so are rows that come after
+    the watermark.
     """
+    span_us = int(within_seconds) * 1_000_000
     t = F.col("published_at").cast("timestamp")
-    rows = mentions.where("trend_id is not null and published_at is not null").withColumn("published_at", t)
-    asked = rows.where(F.col("source") == first).select("trend_id", "external_id", F.col("published_at").alias("asked_at")).withWatermark("asked_at", lateness)
-    answer = rows.where(F.col("source") == then).select(F.col("trend_id").alias("of"), F.col("published_at").alias("answered_at")).withWatermark("answered_at", lateness)
-    span = F.expr(f"interval {int(within_seconds)} seconds")
-    pairs = asked.join(answer, (F.col("trend_id") == F.col("of")) & (F.col("answered_at") >= F.col("asked_at")) & (F.col("answered_at") <= F.col("asked_at") + span))
-    lag = F.unix_micros("answered_at") - F.unix_micros("asked_at")
-    return pairs.groupBy("trend_id", "external_id", F.window("asked_at", "1 minute")).agg(F.min(lag).alias("lag_us")).select("trend_id", "external_id", "lag_us")
+    us = F.unix_micros(t)
+    rows = mentions.where("trend_id is not null and published_at is not null").where(F.col("source").isin(first, then))
+    slot = F.floor(us / F.lit(span_us))
+    asks, answers = F.col("source") == first, F.col("source") == then
+    part = F.array_compact(F.array(F.when(asks, F.struct(slot.alias("slot"), F.lit(True).alias("asks"))), *[
+        F.when(answers, F.struct((slot - i).alias("slot"), F.lit(False).alias("asks"))) for i in (0, 1)]))
+    dealt = rows.select("trend_id", F.col("external_id").cast("bigint").alias("external_id"), t.alias("at"), us.alias("us"), F.explode(part).alias("p")).withWatermark("at", lateness)
+    return dealt.select("trend_id", "external_id", "at", "us", F.col("p.slot").alias("slot"), F.col("p.asks").alias("asks")).groupBy("trend_id", "slot").transformWithStateInPandas(
+        _Answers(span_us), outputStructType="trend_id string, external_id bigint, lag_us bigint", outputMode="Append", timeMode="EventTime")
 
 
 class _Numbers(StatefulProcessor):
