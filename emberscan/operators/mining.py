@@ -12,8 +12,8 @@ from ..functions import entities as ent
 from ..functions.times import within
 
 
-def explode_entities(posts: DataFrame) -> DataFrame:
-    return posts.select("trend_id", "external_id", "published_at", F.posexplode(ent.entity_array(F.col("text"))).alias("pos", "e")).select(
+def explode_entities(posts: DataFrame, only: str | None = None) -> DataFrame:
+    return posts.select("trend_id", "external_id", "published_at", F.posexplode(ent.entity_array(F.col("text"), only)).alias("pos", "e")).select(
         "trend_id", "external_id", "published_at", "pos", F.col("e.type").alias("type"), F.col("e.value").alias("value"))
 
 
@@ -59,5 +59,5 @@ def active_keywords(top_trends: DataFrame) -> DataFrame:
 
 
 def top_entities(posts: DataFrame, kind: str, limit: int = 10) -> DataFrame:
-    e = explode_entities(posts).where(F.col("type") == kind)
+    e = explode_entities(posts, kind)
     return e.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(limit)
