@@ -116,83 +116,109 @@ def decaying_metrics(mentions: DataFrame, minute_seconds: float = 60.0, every_mi
     return s.groupBy("key").transformWithStateInPandas(_Ticks(minute_us, every_minutes), outputStructType=TICK_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
+def _settle(life: pd.DataFrame, waiting: pd.DataFrame, now_ms: int, archive_us: int, renew_us: int) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+    """Transitions of many clusters up to a watermark, their lives after it, and the hours that still wait."""
+    hours = waiting.groupby(["key", "slot"], as_index=False, sort=False).agg(first_us=("first_us", "min"), last_us=("last_us", "max"))
+    ripe = hours["first_us"] // 1000 < now_ms
+    rows, hours = hours[ripe].sort_values(["key", "first_us"]), hours[~ripe]
+    none = np.iinfo(np.int64).min
+    rows = rows.merge(life, on="key", how="left", suffixes=("", "_known"))
+    known, at = rows["last_us_known"].fillna(none).astype(np.int64), rows.groupby("key", sort=False)
+    ends = np.maximum(at["last_us"].cummax(), known)
+    head = at.cumcount() == 0
+    last = ends.shift(1, fill_value=none).where(~head, known)
+    new, first = last == none, rows["first_us"]
+    gap = (first - last.where(~new, first)).to_numpy()
+    was = head & rows["archived"].eq(True)
+    closes = ~new & ~was & (gap > archive_us)
+    opens = new | was | closes
+    kind = np.where(new, "new", np.where(gap > renew_us, "renewed", "reopened"))
+    bump = (opens & (kind != "reopened")).astype(np.int64)
+    version = rows["version"].fillna(0).astype(np.int64) + bump.groupby(rows["key"], sort=False).cumsum()
+    out = [pd.DataFrame({"key": rows["key"], "version": version - bump, "kind": "archived", "at_us": last + archive_us})[closes],
+           pd.DataFrame({"key": rows["key"], "version": version, "kind": kind, "at_us": first})[opens]]
+    moved = pd.DataFrame({"key": rows["key"], "last_us": ends, "version": version, "archived": False}).drop_duplicates("key", keep="last")
+    life = pd.concat([life[~life["key"].isin(moved["key"])], moved], ignore_index=True).astype({"last_us": np.int64, "version": np.int64, "archived": bool})
+    idle = ~life["archived"] & ((life["last_us"] + archive_us) // 1000 < now_ms)
+    out.append(pd.DataFrame({"key": life["key"], "version": life["version"], "kind": "archived", "at_us": life["last_us"] + archive_us})[idle])
+    return pd.concat(out, ignore_index=True), life.assign(archived=life["archived"] | idle), hours
+
+
 class _Life(StatefulProcessor):
-    """Life of one cluster: last post, version, whether it is archived, and the hours that wait for the watermark.
+    """Lives of the clusters of one bucket: last post, version, whether archived, and the hours that wait for the watermark.
 
     An hour is settled once the watermark has passed its first post: nothing
     can come before it any more. Gaps inside an hour never matter, so first and
-    last post of an hour are all that is held.
+    last post of an hour are all that is held. State is read and written a
+    bucket at a time: a call for every cluster and hour costs far more than the
+    work itself.
     """
 
+    LIFE = ["key", "last_us", "version", "archived"]
+    HOURS = ["key", "slot", "first_us", "last_us"]
+
     def __init__(self, archive_us: int, renew_us: int):
         self.archive_us, self.renew_us = archive_us, renew_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.life = handle.getValueState("life", "last_us bigint, version bigint, archived boolean")
-        self.hours = handle.getMapState("hours", "slot bigint", "first_us bigint, last_us bigint")
+        self.life = handle.getValueState("life", "key array<string>, last_us array<bigint>, version array<bigint>, archived array<boolean>")
+        self.hours = handle.getListState("hours", "key array<string>, slot array<bigint>, first_us array<bigint>, last_us array<bigint>")
+        self.due = handle.getValueState("due", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = {}
+        first = None
         for pdf in rows:
-            for slot, first, last in pdf[["slot", "first_us", "last_us"]].itertuples(index=False):
-                a, b = new.get(int(slot), (int(first), int(last)))
-                new[int(slot)] = (min(a, int(first)), max(b, int(last)))
-        for slot, (first, last) in new.items():
-            if self.hours.containsKey((slot,)):
-                a, b = self.hours.getValue((slot,))
-                first, last = min(a, first), max(b, last)
-            self.hours.updateValue((slot,), (first, last))
-        self.handle.registerTimer(min(a for a, _ in new.values()) // 1000)
+            self.hours.appendValue(tuple(pdf[c].tolist() for c in self.HOURS))
+            low = int(pdf["first_us"].min()) // 1000
+            first = low if first is None else min(first, low)
+        if not self.due.exists() or first < self.due.get()[0]:
+            self.due.update((first,))
+            self.handle.registerTimer(first)
         yield pd.DataFrame(columns=["key", "version", "kind", "at_us"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_ms = timerValues.getCurrentWatermarkInMs()
-        last, version, archived = self.life.get() if self.life.exists() else (None, 0, False)
-        waiting = sorted((a, b, slot) for (slot,), (a, b) in self.hours.iterator())
-        out = []
-        for first, end, slot in waiting:
-            if first // 1000 >= now_ms:
-                break
-            if last is not None and not archived and first - last > self.archive_us:
-                out.append((key[0], version, "archived", last + self.archive_us))
-                archived = True
-            if last is None or archived:
-                kind = "new" if last is None else "renewed" if first - last > self.renew_us else "reopened"
-                version += kind != "reopened"
-                out.append((key[0], version, kind, first))
-                archived = False
-            last = end if last is None else max(last, end)
-            self.hours.removeKey((slot,))
-        due = [a // 1000 for a, _, slot in waiting if self.hours.containsKey((slot,))][:1]
-        if last is not None and not archived:
-            ends = (last + self.archive_us) // 1000
-            if ends < now_ms:
-                out.append((key[0], version, "archived", last + self.archive_us))
-                archived = True
+        out = pd.DataFrame(columns=["key", "version", "kind", "at_us"])
+        if self.due.exists() and self.due.get()[0] >= now_ms:
+            if expiredTimerInfo.getExpiryTimeInMs() == self.due.get()[0]:
+                self.handle.registerTimer(self.due.get()[0] + 1)  # fired at the watermark itself, which has not passed it
+        elif self.due.exists():
+            life = pd.DataFrame(dict(zip(self.LIFE, self.life.get() if self.life.exists() else ([], [], [], []))))
+            chunks = [pd.DataFrame(dict(zip(self.HOURS, c))) for c in self.hours.get()]
+            waiting = pd.concat(chunks, ignore_index=True) if chunks else pd.DataFrame({c: [] for c in self.HOURS})
+            kinds = {"key": object, "slot": np.int64, "first_us": np.int64, "last_us": np.int64}
+            life = life.astype({"key": object, "last_us": np.int64, "version": np.int64, "archived": bool})
+            out, life, left = _settle(life, waiting.astype(kinds), now_ms, self.archive_us, self.renew_us)
+            self.hours.clear()
+            if len(left):
+                self.hours.appendValue(tuple(left[c].tolist() for c in self.HOURS))
+            self.life.update(tuple(life[c].tolist() for c in self.LIFE))
+            open_ = life.loc[~life["archived"], "last_us"]
+            due = [int(x.min()) // 1000 for x in (left["first_us"], open_ + self.archive_us) if len(x)]
+            if due:
+                self.due.update((min(due),))
+                self.handle.registerTimer(min(due))
             else:
-                due.append(ends)
-        if last is not None:
-            self.life.update((last, version, archived))
-        if due:
-            self.handle.registerTimer(min(due))
-        yield pd.DataFrame(out, columns=["key", "version", "kind", "at_us"])
+                self.due.clear()
+        yield out
 
     def close(self) -> None:
         pass
 
 
-def life_cycle(mentions: DataFrame, key: str = "trend_id", archive_hours: int = 24, renew_hours: int = 168, lateness: str = "1 hour") -> DataFrame:
+def life_cycle(mentions: DataFrame, key: str = "trend_id", archive_hours: int = 24, renew_hours: int = 168, lateness: str = "1 hour", buckets: int = 512) -> DataFrame:
     """Transitions of every cluster as the watermark passes them: new, archived, reopened or renewed; append mode.
 
     Archived ``archive_hours`` after the last post; a later post reopens it, or,
     after ``renew_hours`` without one, renews it under the next version. Rows
-    (key, version, kind, at_us). Rows without time or key are left out.
+    (key, version, kind, at_us). Rows without time or key are left out. The
+    state is cut into ``buckets`` by hash of the key, each read and written whole.
     """
     if archive_hours < 1:
         raise ValueError("posts of one hour are held together, so a cluster is archived after an hour at least")
     s = slots(mentions.where(F.col(key).isNotNull()), key, HOUR_US, lateness)
-    return s.groupBy("key").transformWithStateInPandas(
+    return s.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(
         _Life(archive_hours * HOUR_US, renew_hours * HOUR_US), outputStructType=LIFE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 

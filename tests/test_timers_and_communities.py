@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,38 @@ def test_failing_listener_stops_nothing(spark, tmp_path, capsys):
     ingest.split_batches(f"{tmp_path}/ok", f"{tmp_path}/bad", [broken, lambda d, b: seen.append((b, d.count()))])(df, 4)
     assert seen == [(4, 2)] and "broken" in capsys.readouterr().out
     assert [r.external_id for r in spark.read.parquet(f"{tmp_path}/ok/b4").collect()] == [1]
+
+
+def test_life_cycle_state_follows_buckets():
+    """Many clusters reach the state as buckets, and many at once settle as one at a time would."""
+    rnd = random.Random(7)
+    hour = timers.HOUR_US
+    rows = [(f"k{rnd.randrange(300)}", rnd.randrange(0, 1200 * hour)) for _ in range(2000)]
+    waiting = pd.DataFrame([(k, us // hour, us, us) for k, us in rows], columns=timers._Life.HOURS)
+    life = pd.DataFrame({"key": pd.Series(dtype=object), "last_us": pd.Series(dtype="int64"), "version": pd.Series(dtype="int64"), "archived": pd.Series(dtype=bool)})
+    got = []
+    for now in (100 * hour // 1000, 100 * hour // 1000, 700 * hour // 1000, 1190 * hour // 1000):
+        out, life, waiting = timers._settle(life, waiting, now, 24 * hour, 168 * hour)
+        got += out.itertuples(index=False, name=None)
+    want, end = [], 1190 * hour // 1000
+    for k in {k for k, _ in rows}:
+        last, version = None, 0
+        for us in [*sorted(us for j, us in rows if j == k and us // 1000 < end), None]:
+            if last is not None and (us is None or us - last > 24 * hour) and (last + 24 * hour) // 1000 < end:
+                want.append((k, version, "archived", last + 24 * hour))
+            if us is not None and (last is None or us - last > 24 * hour):
+                kind = "new" if last is None else "renewed" if us - last > 168 * hour else "reopened"
+                version += kind != "reopened"
+                want.append((k, version, kind, us))
+            last = us if us is not None else last
+    assert sorted(got) == sorted(want)
+
+
+def test_life_cycle_state_is_cut_into_buckets(spark, tmp_path):
+    """2,000 clusters are at most three state rows a bucket (a life, hours, a time due) and their timers, not rows of their own."""
+    df = posts(spark, [(f"k{i}", 60 * i, "x", 0) for i in range(2000)]).select("trend_id", "published_at")
+    df.write.parquet(f"{tmp_path}/in")
+    s = timers.life_cycle(ingest.landed_parquet(spark, f"{tmp_path}/in", df.schema), buckets=16)
+    q = s.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 300
