@@ -25,6 +25,21 @@ NORMALISE_STEPS = [
     (r"[\p{P}\p{S}]", " "),
 ]
 
+_WORD = "[A-Za-z0-9_]"
+# The same steps for Java's matcher, which tries a pattern at every position: each begins with a character that few positions have.
+# Its \b counts any letter and RE2's only ASCII, hence the lookbehind. Of "a.b.c" only the first dot is taken, as the first match has
+# the b; so a match goes on over a second dot. Punctuation and white space go in one pass, which leaves single blanks alone.
+_BLANKS = r"\p{P}\p{S}" + SPACE[1:-1]
+JVM_STEPS = [
+    (r"[hH](?i:ttps?)://" + NON_SPACE + "+", " URL "),
+    (r"[wW](?<!\w[wW])(?i:ww)\." + NON_SPACE + "+", " URL "),
+    (f"[@#](?<=(?:^|{SPACE})[@#])(?={_WORD})", ""),
+    (r"[\x{200d}-\x{10ffff}&&" + EMOJI + "]", ""),
+    (rf"\.(?<={_WORD}\.)({_WORD}\.?)", DOT_MARK + "$1"),
+    (rf"-(?<={_WORD}-)({_WORD}-?)", DASH_MARK + "$1"),
+    (rf"[\x00-\x1f!-/:-@\[-`{{-\x{{10ffff}}&&[{_BLANKS}]][{_BLANKS}]*| [{_BLANKS}]+", " "),
+]
+
 # Entities decoded after tags are removed, in this order.
 HTML_ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x2F;", "/"), ("&#39;", "'"), ("&nbsp;", " ")]
 
@@ -37,10 +52,11 @@ def collapse(text: Column) -> Column:
 def normalise(text: Column) -> Column:
     """Canonical form used for content hashes."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, to in NORMALISE_STEPS:
-        out = F.regexp_replace(out, pattern.replace(r"\b", r"(?<!\w)"), to)  # Java's \b counts any letter, RE2's only ASCII
-    out = F.translate(out, DOT_MARK + DASH_MARK, ".-")
-    return collapse(F.lower(out))
+    for pattern, to in JVM_STEPS:
+        out = F.regexp_replace(out, pattern, to)
+    for mark, char in ((DOT_MARK, "."), (DASH_MARK, "-")):
+        out = F.replace(out, F.lit(mark), F.lit(char))  # ``translate`` makes a string of every character
+    return F.trim(F.lower(out))
 
 
 def tokens(text: Column) -> Column:
