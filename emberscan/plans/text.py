@@ -133,9 +133,10 @@ def p19(spark, sf):
 , en AS (SELECT external_id, unnest(list_distinct({entities_sql('text')})) AS e FROM po)
 SELECT external_id, count(*) AS n, string_agg(e, ' ' ORDER BY e) AS entities FROM en GROUP BY 1"""))
 def n1(spark, sf):
-    e = ent.entity_array(F.col("text"))
+    found = posts(spark, sf).select("external_id", ent.entity_array(F.col("text")).alias("e"))  # named, or the text is searched for each use
+    e = F.col("e")
     flat = F.sort_array(F.transform(e, lambda x: F.concat_ws(":", x["type"], x["value"])))
-    return posts(spark, sf).select("external_id", F.size(e).cast("bigint").alias("n"), F.array_join(flat, " ").alias("entities"))
+    return found.select("external_id", F.size(e).cast("bigint").alias("n"), F.array_join(flat, " ").alias("entities"))
 
 
 @query("n1_document_entities", f"""
