@@ -46,7 +46,8 @@ HTML_ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    runs = rf"[\x09-\x1f\x{{a0}}-\x{{feff}}&&{SPACE}]{SPACE}*| {SPACE}+"  # all but single blanks, which stay
+    return F.trim(F.regexp_replace(text, runs, " "))
 
 
 def normalise(text: Column) -> Column:

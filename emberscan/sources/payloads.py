@@ -74,7 +74,9 @@ def reddit_atom(payloads: DataFrame, content_chars: int = 400) -> DataFrame:
     e = payloads.select(F.from_xml("payload", ATOM).alias("x")).select(F.explode("x.entry").alias("e")).select("e.*")
     content = F.substring(tx.collapse(F.regexp_replace(F.coalesce("content._VALUE", F.lit("")), "<[^>]+>", " ")), 1, content_chars)
     title = F.coalesce("title", F.lit(""))
-    rows = e.select("*", F.concat(title, F.when(content != "", F.concat(F.lit("\n\n"), content)).otherwise("")).alias("text")).where("text <> ''")
+    # Said of the parts and not of the text, which the filter would make a second time; the content is named, as it is used twice.
+    rows = e.where((title != "") | (content != "")).select("*", content.alias("body"))
+    rows = rows.select("*", F.concat(title, F.when(F.col("body") != "", F.concat(F.lit("\n\n"), "body")).otherwise("")).alias("text"))
     author = F.coalesce("author.name", F.lit("unknown"))
     return _unified(rows, "reddit", external_id=F.col("id"), author_id=author, author_handle=F.concat(F.lit("u/"), author), text=F.col("text"),
                     published_at=_iso(F.col("updated")), url=F.coalesce(F.get("link", F.lit(0))["_href"], F.col("id")))
