@@ -63,7 +63,8 @@ def normalise(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-cased white-space tokens without links, in text order."""
     bare = F.regexp_replace(F.lower(text), r"https?://" + NON_SPACE + "+", " ")
-    return F.filter(F.split(bare, SPACE + "+"), lambda t: F.length(t) > 0)
+    plain = F.regexp_replace(bare, rf"[\x09-\x1f\x{{a0}}-\x{{feff}}&&{SPACE}]", " ")
+    return F.filter(F.split(plain, " "), lambda t: F.length(t) > 0)  # one plain character is split without a matcher
 
 
 def token_set(text: Column) -> Column:

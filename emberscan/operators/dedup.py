@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,27 +128,44 @@ def hash32(col: Column, part: int = 0) -> Column:
     return F.conv(F.substring(F.md5(col), 1 + 8 * part, 8), 16, 10).cast("bigint")
 
 
-def minhash(docs: DataFrame, id_col: str, words: Column, num_perm: int = params.NUM_PERM, width: int = 32) -> DataFrame:
+def minhash(docs: DataFrame, id_col: str, words: Column, num_perm: int = params.NUM_PERM) -> DataFrame:
     """MinHash signatures: ``sig`` is an ARRAY of ``num_perm`` BIGINT.
 
-    Distinct tokens are exploded and reduced in blocks of ``width`` minima of
-    linear permutations, which keeps each aggregation inside compiled code. All
-    tokens of a text start in one partition, so map-side combine shuffles one
-    row per text and block. Texts without tokens get a sentinel signature.
+    A task hashes the different words of a batch of texts once and permutes
+    those; a text takes the minimum over the places of its words. Only
+    signatures are shuffled, and rows of one id make one signature. Texts
+    without tokens get a sentinel signature.
     """
-    rows = docs.select(id_col, F.array_distinct(words).alias("t"))
-    tok = rows.select(id_col, F.explode_outer("t").alias("tok")).select(id_col, hash32(F.col("tok")).alias("h"))
-    blocks = num_perm // width
-    terms = [F.struct(F.lit(i).alias("blk"), *[F.lit(v).cast("bigint").alias(f"{n}{j}") for j in range(width) for n, v in zip("ab", permutation(i * width + j))])
-             for i in range(blocks)]
-    spread = tok.select(id_col, "h", F.explode(F.array(*terms)).alias("p"))
-    part = spread.groupBy(id_col, F.col("p.blk").alias("blk")).agg(
-        *[F.min((F.col(f"p.a{j}") * F.col("h") + F.col(f"p.b{j}")) % F.lit(PRIME)).alias(f"h{j}") for j in range(width)], F.count("h").alias("n"))
-    packed = part.select(id_col, "blk", "n", F.array(*[f"h{j}" for j in range(width)]).alias("h"))
-    whole = packed.groupBy(id_col).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("blk", "h"))), lambda s: s["h"])).alias("sig"), F.max("n").alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), F.array_distinct(words).alias("t"))
+    kind = rows.schema["id"].dataType.simpleString()
+    each = rows.mapInArrow(_signer(num_perm), f"id {kind}, sig array<bigint>, n_tokens bigint")
+    least = F.aggregate("sigs", F.get("sigs", F.lit(0)), lambda a, s: F.zip_with(a, s, lambda x, y: F.least(x, y)))  # nulls are left out
+    whole = each.groupBy("id").agg(F.collect_list("sig").alias("sigs"), F.sum("n_tokens").alias("n_tokens"))
     sentinel = F.array_repeat(F.lit(-1).cast("bigint"), num_perm)
-    return whole.select(id_col, F.when(F.col("n_tokens") > 0, F.col("sig")).otherwise(sentinel).alias("sig"), "n_tokens")
+    return whole.select(F.col("id").alias(id_col), F.coalesce(F.when(F.size("sigs") > 1, least).otherwise(F.get("sigs", F.lit(0))), sentinel).alias("sig"), "n_tokens")
+
+
+def _signer(num_perm: int):
+    """Batches of (id, t) to (id, sig or null, number of words)."""
+    factors = [permutation(j) for j in range(num_perm)]
+
+    def sign(batches):
+        for batch in batches:
+            t = batch.column(1)
+            n = pc.fill_null(pc.list_value_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = t.flatten().cast(pa.binary()).dictionary_encode()
+            h = np.array([int.from_bytes(hashlib.md5(w).digest()[:4], "big") for w in coded.dictionary.to_pylist()], np.uint64)
+            at, full = coded.indices.to_numpy(), n > 0
+            starts = (np.cumsum(n) - n)[full]
+            sig = np.empty((starts.size, num_perm), np.int64)
+            for j, (a, b) in enumerate(factors):
+                if starts.size:
+                    sig[:, j] = np.minimum.reduceat(((np.uint64(a) * h + np.uint64(b)) % np.uint64(PRIME)).astype(np.int64)[at], starts)
+            ends = np.append(0, np.cumsum(full) * num_perm).astype(np.int32)
+            sigs = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~full, False)), pa.array(sig.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sigs, pa.array(n)], ["id", "sig", "n_tokens"])
+
+    return sign
 
 
 def bands(signatures: DataFrame, id_col: str, n_bands: int = params.BANDS, rows: int = params.ROWS) -> DataFrame:
