@@ -19,28 +19,43 @@ def tokenised(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return cut(docs.select(id_col, words(F.col(text)).alias("w")).select(id_col, F.size("w").alias("len"), "w"))
 
 
+#: Query terms that may ride with every task.
+FEW_TERMS = 20_000
+
+
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Top ``k`` documents per query. ``queries``: (query_id, q).
 
     Documents are tokenised once. Only postings of query terms are kept, and
-    they are counted inside the document, where no term is hot. The written
-    postings are then joined with their frequencies and the query terms; both
-    sides are plain tables there, so Spark can split a common term. A repeated
+    they are counted inside the document, where no term is hot. Few query terms
+    go to the postings, which lie by document: words of no query are dropped in
+    the row that holds them, and a document's scores are summed where its
+    postings are, so no (query, document) pair is shuffled but the best ``k`` of
+    a task. Many terms are joined with the written postings; both sides are
+    plain tables there, so Spark can split a common term. A repeated
     query term counts again. Scores are compared at nine decimals, so equal
     documents rank by id whatever the order of summation.
     """
     qt = queries.select("query_id", F.explode(words(F.col("q"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     qt = cut(qt)
-    tok = tokenised(docs, id_col, text)
+    terms = [r["term"] for r in qt.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    few = len(terms) <= FEW_TERMS and qt.count() <= 10 * FEW_TERMS
+    if few:
+        w = docs.select(id_col, words(F.col(text)).alias("w"))
+        tok = cut(w.select(id_col, F.size("w").alias("len"), F.filter("w", lambda x: x.isin(terms)).alias("w")))
+        hit = tok.select(id_col, "len", F.explode("w").alias("term")).repartition(id_col)
+    else:
+        tok = tokenised(docs, id_col, text)
+        hit = tok.select(id_col, "len", F.explode("w").alias("term")).join(qt.select("term").distinct(), "term", "left_semi")
     totals = tok.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    hit = tok.select(id_col, "len", F.explode("w").alias("term")).join(qt.select("term").distinct(), "term", "left_semi")
     tf = cut(hit.groupBy(id_col, "len", "term").agg(F.count("*").alias("tf")))
     n, avgdl = totals.select("n").scalar(), totals.select("avgdl").scalar()
     df = cut(tf.groupBy("term").agg(F.count("*").alias("df")))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = qt.join(df, "term").select("query_id", "term", (F.col("qn") * idf).alias("x"))
     part = F.col("x") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
-    score = weighed.join(tf, "term").groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
+    both = tf.repartition(id_col).join(F.broadcast(weighed), "term") if few else weighed.join(tf, "term")
+    score = both.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
     win = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
     return score.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
 
