@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stage import lean
 from .words import Words, documents, mix, pieces
 
 #: Most documents the field is fitted on, and most lines of one of them.
@@ -249,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | Non
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = documents(docs).join(F.broadcast(known), "doc_id").mapInArrow(_lines, "doc_id long, x binary, width binary, quality int").collect()
+    rows = documents(docs).join(F.broadcast(known), "doc_id").mapInArrow(lean(_lines), "doc_id long, x binary, width binary, quality int").collect()
     rows = list({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.x))}.values())
     label = np.array([r.quality for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
@@ -276,4 +277,4 @@ def quality(docs: DataFrame, field: Field | None) -> DataFrame:
             share, known = field.shares(x, width, row, b.num_rows)
             yield b.set_column(b.schema.get_field_index("score"), "score", pa.array(field.score(share, known)))
 
-    return wide.mapInArrow(run, wide.schema)
+    return wide.mapInArrow(lean(run), wide.schema)

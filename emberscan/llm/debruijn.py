@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import grouped, written
+from .stage import grouped, lean, written
 from .words import BLANK, Words, documents, pieces, segment_hash, signed
 
 #: Words of a seed.
@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, size: int = 20) -> DataFrame:
     if not SEED <= size <= 120:
         raise ValueError(f"windows have {SEED} to 120 words")
     base = documents(docs)
-    paths = base.where("doc_id is not null and text is not null").mapInArrow(_emit_paths(size), "seed long, path long, doc_id long, pos long")
+    paths = base.where("doc_id is not null and text is not null").mapInArrow(lean(_emit_paths(size)), "seed long, path long, doc_id long, pos long")
     # Copies were counted inside every piece of text, so no seed holds more than a small share of the rows that are dealt out here.
     bucket = Window.partitionBy("seed")
     kinds = (paths.repartition("seed").groupBy("seed", "path").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
@@ -260,4 +260,4 @@ def kept_texts(docs: DataFrame, size: int = 20) -> DataFrame:
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field("text"), pa.array(out, b.schema.field("text").type)).drop_columns(["__mask"])
 
-    return docs.join(spans.withColumnRenamed("mask", "__mask"), "doc_id", "left").select(*docs.columns, "__mask").mapInArrow(run, fields)
+    return docs.join(spans.withColumnRenamed("mask", "__mask"), "doc_id", "left").select(*docs.columns, "__mask").mapInArrow(lean(run), fields)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import written
+from .stage import lean, written
 from .words import ALNUM, Words, pieces, segment_hash, signed
 
 #: Words of a shingle.
@@ -156,7 +156,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     none = {k: tuple(np.zeros(0, np.int64) for _ in range(5)) for k in (1,)}
     out, last = wide, False
     for index, last in _blocks(docs, items, size):
-        out = out.mapInArrow(_scan(index, wide.schema), wide.schema)
+        out = out.mapInArrow(lean(_scan(index, wide.schema)), wide.schema)
         if not last:
             out = written(out, "leaks")  # so that the driver holds one block at a time
     return out if last else out.mapInArrow(_scan(none, wide.schema), wide.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .stage import by_key, written
+from .stage import by_key, lean, written
 from .words import BLANK, Words, documents, mix, pieces, segment_hash, signed
 
 #: Words of a shingle.
@@ -140,7 +140,7 @@ def _linked(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     mine = _thinned(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     left = pairs.join(mine.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(mine.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    return written(both.mapInArrow(lean(_confirm(percent)), "a long, b long").distinct(), "links")
 
 
 class _Forest:
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if percent < 80:
         raise ValueError("the radius of the signatures is made for 80 per cent or more")
     base = documents(docs)
-    sets = written(base.mapInArrow(_signatures, "doc_id long, n long, f1 long, f2 long, sig binary"), "sets")
+    sets = written(base.mapInArrow(lean(_signatures), "doc_id long, n long, f1 long, f2 long, sig binary"), "sets")
     # min() of the signature is that of any member: equal sets have equal signatures
     classes = written(sets.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(
         F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"), (F.col("mine") > j).cast("int").alias("side")))
     meets = member.withColumn("mine", mine).withColumn("m", F.explode(F.when(is_main, as_main).otherwise(F.concat(with_main, with_others)))).select(
         "family", "m.i", "m.j", "m.side", "component", "text")
-    joined = written(meets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_full(percent), "src long, dst long").distinct(), "joined")
+    joined = written(meets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(lean(_full(percent)), "src long, dst long").distinct(), "joined")
     last = components(first.select(F.col("component").alias("id")).distinct(), joined)
     final = first.select("id", F.col("component").alias("c")).join(last.select(F.col("id").alias("c"), "component"), "c").select("id", "component")
     named = written(classes.select("f1", "f2", "n", "id").join(final, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")), "named")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import written
+from .stage import lean, written
 from .token_ids import encoder
 from .words import documents, pieces
 
@@ -155,4 +155,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = 2048, wi
                 seq[k], off[k] = first[j] + rank[k] - from_rank[j], at[j]
             yield pa.record_batch([*b.columns[:len(b.columns) - 2], pa.array(seq), pa.array(off)], names=[*b.schema.names[:-2], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, kind + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), kind + ", sequence_id long, offset long")

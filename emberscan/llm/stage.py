@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library other than glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for workers that serve one stage after another and share their executor's memory.
+
+    What an earlier stage left is given up first: the encoder of a tokenizer,
+    and the holes between its arrays.
+    """
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sys.modules.get("emberscan.llm.token_ids")
+        if tokens is not None:
+            tokens.release()
+        trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lean_run
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int = 1 << 20) -> Iterator[pa.Table]:
     """Rows that arrive sorted by ``key``, in tables that never cut a key in two.
 
