@@ -482,9 +482,14 @@ le AS (SELECT *, CASE WHEN x AND (gdelt OR reddit) AND trash < 0.4 THEN 'LEGIT'
   WHEN (gdelt OR reddit) AND NOT x THEN 'PRE_BURST' WHEN NOT x AND NOT (gdelt OR reddit) THEN 'NOISE' ELSE 'UNCERTAIN' END AS class FROM pc)"""
 
 
+def story():
+    """As in the SQL, a post without author or trend is in the story without a name."""
+    return F.concat(F.col("author_id").cast("string"), F.lit("-"), F.col("trend_id"))
+
+
 def presence(spark, sf):
     """Stories of one author in one trend, with news feeds standing in for the news database."""
-    m = mentions(spark, sf).withColumn("story", F.concat_ws("-", F.col("author_id").cast("string"), "trend_id"))
+    m = mentions(spark, sf).withColumn("story", story())
     s = lambda *n: F.bool_or(F.col("source").isin(*n))
     has = {"has_x": ["x"], "has_gdelt": ["gdelt", "rss"], "has_reddit": ["reddit"], "has_hn": ["hn"]}
     per = m.groupBy("story", "bot_score").agg(*[s(*n).alias(c) for c, n in has.items()], F.count("*").alias("n"))
@@ -511,7 +516,7 @@ UNION ALL SELECT 'political', story FROM v WHERE trash > 0.5"""
 
 @query("p20_role_presets", sql(ROLE_SQL))
 def p20(spark, sf):
-    m = mentions(spark, sf).withColumn("story", F.concat_ws("-", F.col("author_id").cast("string"), "trend_id"))
+    m = mentions(spark, sf).withColumn("story", story())
     per = m.withColumn("auth", 1 - F.col("bot_score")).groupBy("story", "author_quality", "auth").agg(F.count("*").alias("n"))
     q = per.groupBy("story").agg(F.sum("n").alias("n"), F.collect_list(F.struct("author_quality", "n")).alias("q"), F.collect_list(F.struct("auth", "n")).alias("a")).select(
         "story", "n", ordered_mean(F.col("q"), "author_quality").alias("origin_quality"), ordered_mean(F.col("a"), "auth").alias("authenticity"))
