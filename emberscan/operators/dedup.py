@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,8 +183,6 @@ def tight_bands(num_perm: int = params.NUM_PERM, threshold: float = params.JACCA
     least one slice is untouched. Wider slices than the usual four rows mean far
     fewer chance collisions, at no loss.
     """
-    import math
-
     d = num_perm - math.ceil(threshold * num_perm - 1e-9)
     edges = [round(i * num_perm / (d + 1)) for i in range(d + 2)]
     return [(edges[i], edges[i + 1] - edges[i]) for i in range(d + 1)]
@@ -199,19 +199,90 @@ def signature_jaccard(a: Column, b: Column) -> Column:
     return same / F.size(a)
 
 
-def candidate_pairs(signatures: DataFrame, id_col: str) -> DataFrame:
+#: Bytes of the signatures of one side; a task holds two sides. Pairs that are compared at once.
+SIDE_BYTES, PAIRS = 128 << 20, 1 << 15
+
+
+def candidate_pairs(signatures: DataFrame, id_col: str, n_bands: int = params.BANDS, rows: int = params.ROWS) -> DataFrame:
     """Pairs of distinct signatures that share a band: a, b (smallest ids), the texts each stands for, shared bands, estimated Jaccard.
 
     Equal signatures are one class first, so copies give no pairs among
-    themselves. Every pair of classes that shares a band is there.
+    themselves. Every pair of classes that shares a band is there. Classes are
+    dealt to sides; two sides meet in one task, which finds the shared bands and
+    compares the signatures at hand. So signatures travel once for every side
+    and a pair is a row of the result only.
     """
     classes = cut(signatures.groupBy("sig").agg(F.min(id_col).alias("id"), F.count("*").alias("docs")))
-    b = cut(bands(classes, "id"))
-    pairs = b.select("band", "band_hash", F.col("id").alias("a")).join(b.withColumnRenamed("id", "b"), ["band", "band_hash"]).where("a < b")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("docs").alias(f"docs_{c}"), F.col("sig").alias(f"sig_{c}"))
-    return counted.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "docs_a", "docs_b", "shared", signature_jaccard(F.col("sig_a"), F.col("sig_b")).alias("jaccard_est"))
+    facts = classes.agg(F.count("*").alias("n"), F.max(F.size("sig")).alias("size")).first()
+    # more sides than the bytes ask for where every core is to have some tasks
+    sides = max(math.isqrt(6 * signatures.sparkSession.sparkContext.defaultParallelism), math.ceil(4 * facts["n"] * (facts["size"] or 0) / SIDE_BYTES), 1)
+    kind = classes.schema["id"].dataType.simpleString()
+    side = F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int")
+    # The sentinel of texts without tokens is one class and shares a band with no other.
+    packed = classes.where(F.get("sig", F.lit(0)) >= 0).select("sig", "id", "docs").mapInArrow(_packed, f"id {kind}, docs bigint, low binary, high binary").withColumn("side", side)
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    cells = met.select(F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), (F.col("side") > F.col("other")).alias("second"), "id", "docs", "low", "high")
+    return cells.groupBy("i", "j").applyInArrow(_pairs_of_sides(n_bands, rows), f"a {kind}, b {kind}, docs_a bigint, docs_b bigint, shared bigint, jaccard_est double")
+
+
+def _packed(batches):
+    """(sig, id, docs) to (id, docs, low, high): values as 32 bits, and what lies above them where there is anything."""
+    for batch in batches:
+        sig = [np.asarray(v.values, dtype=np.int64) for v in batch.column("sig")]
+        high = [(v >> 32).astype(np.uint32) for v in sig]
+        yield pa.RecordBatch.from_arrays([
+            batch.column("id"), batch.column("docs"), pa.array([v.astype(np.uint32).tobytes() for v in sig], pa.binary()),
+            pa.array([h.tobytes() if h.any() else None for h in high], pa.binary())], names=["id", "docs", "low", "high"])
+
+
+def _unpacked(table: pa.Table) -> np.ndarray:
+    """Signatures as rows, of 32 bits unless a value needs more."""
+    low, high = table.column("low"), table.column("high")
+    size = len(low[0].as_py()) // 4
+    sig = np.frombuffer(b"".join(low.to_pylist()), np.uint32).reshape(-1, size)
+    if high.null_count < len(high):
+        none = bytes(4 * size)
+        sig = sig + (np.frombuffer(b"".join(h or none for h in high.to_pylist()), np.uint32).reshape(-1, size).astype(np.uint64) << np.uint64(32))
+    return sig
+
+
+def _pairs_of_sides(n_bands: int, rows: int):
+    """Rows of two sides (or of one, which meets itself) to their pairs, ``PAIRS`` at a time. A pair is given in the first band it shares."""
+    odd = np.array([0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(rows)], np.uint64)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        ids, docs, sig = table.column("id"), table.column("docs"), _unpacked(table)
+        second = table.column("second").to_numpy()
+        alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        one = np.flatnonzero(~second)
+        two = one if alone else np.flatnonzero(second)
+        for k in range(n_bands):
+            # a key may stand for two bands: what counts is the comparison below
+            key = (sig[:, k * rows:(k + 1) * rows].astype(np.uint64) * odd).sum(axis=1, dtype=np.uint64)
+            there = two[np.argsort(key[two], kind="stable")]
+            lo, hi = (np.searchsorted(key[there], key[one], side) for side in ("left", "right"))
+            ends = np.cumsum(hi - lo)
+            for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+                n = np.arange(at, min(at + PAIRS, int(ends[-1])))
+                of = np.searchsorted(ends, n, "right")
+                x, y = one[of], there[hi[of] - (ends[of] - n)]
+                if alone:
+                    x, y = x[x < y], y[x < y]
+                same = sig[x] == sig[y]
+                band = same[:, :n_bands * rows].reshape(len(x), n_bands, rows).all(axis=2)
+                new = band[:, k] & ~band[:, :k].any(axis=1)
+                if not new.any():
+                    continue
+                x, y, shared, jaccard = x[new], y[new], band[new].sum(axis=1), same[new].sum(axis=1) / sig.shape[1]
+                p, q = ids.take(pa.array(x)), ids.take(pa.array(y))
+                later = pc.greater(p, q).to_numpy()
+                a, b = pa.array(np.where(later, y, x)), pa.array(np.where(later, x, y))
+                made = [ids.take(a), ids.take(b), docs.take(a), docs.take(b), pa.array(shared, pa.int64()), pa.array(jaccard)]
+                made = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made]
+                yield pa.RecordBatch.from_arrays(made, names=["a", "b", "docs_a", "docs_b", "shared", "jaccard_est"])
+
+    return visit
 
 
 def simhash(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
